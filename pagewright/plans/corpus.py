@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import drift, shred
-from pagewright.sources.tables import KEYS, once, once_wide, table
+from pagewright.sources.tables import KEYS, once_wide, table
 
 PAGE_JSON = {"blocks_json": "pages.blocks_json", "extraction_json": "pages.extraction_json", "layout_source_json": "pages.layout_source_json"}
 
