@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import lookalike, repeated, tokens
+from pagewright.llm import leakage, lookalike, repeated, spam, tokens
 from pagewright.sources.tables import KEYS, once_wide, table
 
 FIELDS = ["text", "extraction_text"]
@@ -45,7 +45,21 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode_column(p6_ids(spark, d), "ids", "text").select("doc_id", F.size("ids").alias("n_ids"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p5_found, p5_texts, p6_ids, p6_decoded)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    items = [(r.item_id, r.text) for r in table(spark, d, "eval_items").select("item_id", "text").collect()]  # the held-out suite, taken in bounded blocks
+    return leakage.leaked(table(spark, d, "documents"), items)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.flagged(table(spark, d, "documents"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each document's text in each kind of line."""
+    return spam.page_shares(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p8_found, p8_shares)}
 SQL = {
     # decoding restores the text; a text's bytes bound its number of ids from above, so only the texts are compared here
 }
