@@ -99,13 +99,21 @@ def classes() -> list[list[str]]:
     return [sorted(m) for m in found.values() if len(m) > 1]
 
 
+def _secondary(member: str) -> bool:
+    """Whether Unicode gives a string as another form of a plainer one."""
+    return unicodedata.normalize("NFKC", member) != member or member in _RADICAL_FORMS
+
+
+_RADICAL_FORMS = {pair[0] for pair in RADICALS.split()}
+
+
 def representatives(counts: dict[str, int] | None = None) -> dict[str, str]:
-    """member -> representative, for the members that aren't their class's own. Without counts, the lowest code points stand for
-    the class (the plain letter). A string of several characters counts as often as its rarest character."""
+    """member -> representative, for the members that aren't their class's own. Of equally frequent members, plain ones come
+    before compatibility forms, then lower code points. A string of several characters counts as often as its rarest character."""
     counts = counts or {}
     out = {}
     for members in classes():
-        rep = "" if "" in members else min(members, key=lambda m: (-min(counts.get(c, 0) for c in m), [ord(c) for c in m]))
+        rep = "" if "" in members else min(members, key=lambda m: (-min(counts.get(c, 0) for c in m), _secondary(m), [ord(c) for c in m]))
         out.update({m: rep for m in members if m != rep})
     return out
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import leakage, lookalike, repeated, spam, tokens
+from pagewright.llm import leakage, lookalike, repeated, scans, spam, tokens
+from pagewright.session import ensure_checkpoint_dir
 from pagewright.sources.tables import KEYS, once_wide, table
 
 FIELDS = ["text", "extraction_text"]
@@ -22,6 +23,11 @@ def p2_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical(pages, FIELDS, lookalike.corpus_table(pages, FIELDS))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return scans.noise(table(spark, d, "pages"), lambda df: df.checkpoint())
+
+
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     return once_wide(table(spark, d, "pages").select("page_id", "book_id", "text"), KEYS["pages"])
 
@@ -59,7 +65,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p3_found, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p8_found, p8_shares)}
 SQL = {
     # decoding restores the text; a text's bytes bound its number of ids from above, so only the texts are compared here
 }
