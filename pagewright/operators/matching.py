@@ -1,0 +1,58 @@
+"""Fuzzy matching of lines and ordered assignment within a page."""
+
+from __future__ import annotations
+
+import difflib
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def ratio(a: str, b: str) -> float:
+    """Similarity by longest common blocks, without the heuristic for popular characters."""
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+def best_matches(left: DataFrame, right: DataFrame, by: str, least: float = 0.92, margin: float = 0.04) -> DataFrame:
+    """(by, line_no, match_no, score): the line of the same page each line matches best.
+
+    `left` and `right`: by, line_no, text. Lengths may differ by the greater of 2 and 12 %; the best score must reach `least` and
+    be `margin` above the next; otherwise a line has no row. Pages are grouped, lines of a page are few. Nulls match nothing.
+    """
+
+    def match(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        theirs = [(n, t) for n, t in zip(other["line_no"], other["text"], strict=True) if isinstance(t, str) and t]
+        for key, n, t in zip(pdf[by], pdf["line_no"], pdf["text"], strict=True):
+            if not isinstance(t, str) or not t:
+                continue
+            near = [(m, u) for m, u in theirs if abs(len(u) - len(t)) <= max(2, 0.12 * max(len(t), len(u)))]
+            scores = sorted(((1.0 if t == u else ratio(t, u)), -m) for m, u in near)
+            if scores and scores[-1][0] >= least and (len(scores) == 1 or scores[-1][0] - scores[-2][0] >= margin):
+                out.append((key, n, -scores[-1][1], round(scores[-1][0], 6)))
+        return pd.DataFrame(out, columns=[by, "line_no", "match_no", "score"])
+
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(match, f"{by} string, line_no long, match_no long, score double")
+
+
+def anchored(left: DataFrame, right: DataFrame, by: str, least: float = 0.45, margin: float = 0.12) -> DataFrame:
+    """(by, line_no, match_no): monotone 1:1 assignment. Sure pairs anchor it (score and lead over the next best), anchors that
+    cross earlier ones are dropped, and stretches of equal length between anchors are paired in order."""
+
+    def assign(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        a = [(n, t or "") for n, t in sorted(zip(pdf["line_no"], pdf["text"], strict=True))]
+        b = [(n, t or "") for n, t in sorted(zip(other["line_no"], other["text"], strict=True))]
+        pairs, last = [], -1
+        for i, (_, t) in enumerate(a):
+            scores = sorted((ratio(t, u), -j) for j, (_, u) in enumerate(b)) if t else []
+            if scores and scores[-1][0] >= least and (len(scores) == 1 or scores[-1][0] - scores[-2][0] >= margin) and -scores[-1][1] > last:
+                last = -scores[-1][1]
+                pairs.append((i, last))
+        full, ends = [], [(-1, -1), *pairs, (len(a), len(b))]
+        for (i, j), (k, m) in zip(ends, ends[1:], strict=False):
+            if k - i == m - j:
+                full += [(i + s, j + s) for s in range(1, k - i)]
+        key = (pdf[by] if len(pdf) else other[by]).iloc[0]
+        return pd.DataFrame([(key, a[i][0], b[j][0]) for i, j in sorted(pairs + full)], columns=[by, "line_no", "match_no"])
+
+    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(assign, f"{by} string, line_no long, match_no long")
