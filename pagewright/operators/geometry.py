@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,19 +71,18 @@ def pixels(box: list[Column], width: Column, height: Column) -> list[Column]:
     return [cut(F.floor(box[0] * width), width), cut(F.floor(box[1] * height), height), cut(F.ceil(box[2] * width), width), cut(F.ceil(box[3] * height), height)]
 
 
-def grown(boxes: DataFrame, page: str, rounds: int | None = None) -> DataFrame:
+def grown(boxes: DataFrame, page: str) -> DataFrame:
     """Boxes of each page grown to the union with every box they meet until nothing changes (page, boxes left, their area).
 
-    Sequential by nature, so it runs page by page in an Arrow function; a page has few boxes.
+    Sequential by nature, so each page's boxes, which are few, are gathered and settled in an Arrow function.
     """
-    import pandas as pd
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = sorted(tuple(r) for r in pdf[list(SIDES)].dropna().itertuples(index=False))
+    def settle(left: list[dict]) -> tuple[int, float]:
+        now = sorted(tuple(b[s] for s in SIDES) for b in left)
         changed = True
         while changed:
             changed, out = False, []
-            for b in left:
+            for b in now:
                 for i, o in enumerate(out):
                     if o[0] < b[2] and b[0] < o[2] and o[1] < b[3] and b[1] < o[3]:
                         out[i] = (min(o[0], b[0]), min(o[1], b[1]), max(o[2], b[2]), max(o[3], b[3]))
@@ -89,8 +90,15 @@ def grown(boxes: DataFrame, page: str, rounds: int | None = None) -> DataFrame:
                         break
                 else:
                     out.append(b)
-            left = out
-        total = sum((b[2] - b[0]) * (b[3] - b[1]) for b in left)
-        return pd.DataFrame([[pdf[page].iloc[0], len(left), round(total, 6)]], columns=[page, "boxes", "area"])
+            now = out
+        return len(now), round(sum((b[2] - b[0]) * (b[3] - b[1]) for b in now), 6)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [settle(x) for x in batch.column("b").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(page), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.float64())], names=[page, "boxes", "area"])
 
-    return boxes.groupBy(page).applyInPandas(settle, f"{page} string, boxes long, area double")
+    whole = boxes.where(" and ".join(f"{s} is not null" for s in SIDES))
+    return whole.groupBy(page).agg(F.collect_list(F.struct(*SIDES)).alias("b")).mapInArrow(run, f"{page} string, boxes long, area double")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
 
@@ -13,38 +13,61 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def best_matches(left: DataFrame, right: DataFrame, by: str, least: float = 0.92, margin: float = 0.04) -> DataFrame:
-    """(by, line_no, match_no, score): the line of the same page each line matches best.
+def _upper(a: str, b: str, floor: float) -> float:
+    """The similarity, or 0 where cheaper upper bounds show that it stays under `floor`."""
+    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    return m.ratio() if m.real_quick_ratio() >= floor and m.quick_ratio() >= floor else 0.0
 
-    `left` and `right`: by, line_no, text. Lengths may differ by the greater of 2 and 12 %; the best score must reach `least` and
-    be `margin` above the next; otherwise a line has no row. Pages are grouped, lines of a page are few. Nulls match nothing.
+
+def _by_row(df: DataFrame, by: str, left: str, right: str, match: Callable[[list, list], list[tuple]], schema: str) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in schema.split(", ")][1:]
+        kinds = {"long": pa.int64(), "double": pa.float64()}
+        types = [kinds[x.split()[1]] for x in schema.split(", ")[1:]]
+        for batch in batches:
+            take, out = [], []
+            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                made = match(a or [], b or [])
+                take += [i] * len(made)
+                out += made
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(take)), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True))], names=[by, *names])
+
+    return df.selectExpr(f"`{by}` as k", f"`{left}` as a", f"`{right}` as b").mapInArrow(run, schema)
+
+
+def best_matches(df: DataFrame, by: str, left: str, right: str, least: float = 0.92, margin: float = 0.04) -> DataFrame:
+    """(by, line_no, match_no, score): for each row, the string of the array `right` that each string of the array `left` matches best.
+
+    Lengths may differ by the greater of 2 and 12 %; the best score must reach `least` and be `margin` above the next; otherwise a
+    string has no row. Null and empty strings match nothing; null arrays are empty. Rows aren't shuffled.
     """
 
-    def match(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    def match(a: list, b: list) -> list[tuple]:
         out = []
-        theirs = [(n, t) for n, t in zip(other["line_no"], other["text"], strict=True) if isinstance(t, str) and t]
-        for key, n, t in zip(pdf[by], pdf["line_no"], pdf["text"], strict=True):
-            if not isinstance(t, str) or not t:
+        theirs = [(n, t) for n, t in enumerate(b) if t]
+        for n, t in enumerate(a):
+            if not t:
                 continue
             near = [(m, u) for m, u in theirs if abs(len(u) - len(t)) <= max(2, 0.12 * max(len(t), len(u)))]
-            scores = sorted(((1.0 if t == u else ratio(t, u)), -m) for m, u in near)
+            scores = sorted(((1.0 if t == u else _upper(t, u, least - margin)), -m) for m, u in near)
             if scores and scores[-1][0] >= least and (len(scores) == 1 or scores[-1][0] - scores[-2][0] >= margin):
-                out.append((key, n, -scores[-1][1], round(scores[-1][0], 6)))
-        return pd.DataFrame(out, columns=[by, "line_no", "match_no", "score"])
+                out.append((n, -scores[-1][1], round(scores[-1][0], 6)))
+        return out
 
-    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(match, f"{by} string, line_no long, match_no long, score double")
+    return _by_row(df, by, left, right, match, f"{by} string, line_no long, match_no long, score double")
 
 
-def anchored(left: DataFrame, right: DataFrame, by: str, least: float = 0.45, margin: float = 0.12) -> DataFrame:
-    """(by, line_no, match_no): monotone 1:1 assignment. Sure pairs anchor it (score and lead over the next best), anchors that
-    cross earlier ones are dropped, and stretches of equal length between anchors are paired in order."""
+def anchored(df: DataFrame, by: str, left: str, right: str, least: float = 0.45, margin: float = 0.12) -> DataFrame:
+    """(by, line_no, match_no): monotone 1:1 assignment of the strings of two arrays. Sure pairs anchor it (score and lead over the
+    next best), anchors that cross earlier ones are dropped, and stretches of equal length between anchors are paired in order."""
 
-    def assign(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        a = [(n, t or "") for n, t in sorted(zip(pdf["line_no"], pdf["text"], strict=True))]
-        b = [(n, t or "") for n, t in sorted(zip(other["line_no"], other["text"], strict=True))]
+    def assign(a: list, b: list) -> list[tuple]:
         pairs, last = [], -1
-        for i, (_, t) in enumerate(a):
-            scores = sorted((ratio(t, u), -j) for j, (_, u) in enumerate(b)) if t else []
+        for i, t in enumerate(a):
+            scores = sorted((_upper(t, u or "", least - margin), -j) for j, u in enumerate(b)) if t else []
             if scores and scores[-1][0] >= least and (len(scores) == 1 or scores[-1][0] - scores[-2][0] >= margin) and -scores[-1][1] > last:
                 last = -scores[-1][1]
                 pairs.append((i, last))
@@ -52,7 +75,6 @@ def anchored(left: DataFrame, right: DataFrame, by: str, least: float = 0.45, ma
         for (i, j), (k, m) in zip(ends, ends[1:], strict=False):
             if k - i == m - j:
                 full += [(i + s, j + s) for s in range(1, k - i)]
-        key = (pdf[by] if len(pdf) else other[by]).iloc[0]
-        return pd.DataFrame([(key, a[i][0], b[j][0]) for i, j in sorted(pairs + full)], columns=[by, "line_no", "match_no"])
+        return sorted(pairs + full)
 
-    return left.groupBy(by).cogroup(right.groupBy(by)).applyInPandas(assign, f"{by} string, line_no long, match_no long")
+    return _by_row(df, by, left, right, assign, f"{by} string, line_no long, match_no long")

@@ -290,17 +290,20 @@ def jon27_exact_key_sets(s: SparkSession, d: str) -> DataFrame:
     return R.same_keys(table(s, d, "pages").select("book_id", "number"), table(s, d, "page_attempts").select("book_id", F.col("page_number").alias("number")), ["book_id", "number"])
 
 
+def _readings(s: SparkSession, d: str) -> DataFrame:
+    """Lines of both readings of a page as arrays."""
+    return pages(s, d, "text", "extraction_text").where("text <> '' and extraction_text <> ''").select("page_id", F.split("text", "\n").alias("a"), F.split("extraction_text", "\n").alias("b"))
+
+
 @query()
 def jon19_fuzzy_best(s: SparkSession, d: str) -> DataFrame:
     """Lines of the kept text against lines of the first reading of the same page."""
-    lines = lambda c: pages(s, d, c).where(F.col(c) != "").select("page_id", F.posexplode(F.split(c, "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("bigint"))
-    return M.best_matches(lines("text"), lines("extraction_text"), "page_id")
+    return M.best_matches(_readings(s, d), "page_id", "a", "b")
 
 
 @query()
 def jon20_anchored(s: SparkSession, d: str) -> DataFrame:
-    lines = lambda c: pages(s, d, c).where(F.col(c) != "").select("page_id", F.posexplode(F.split(c, "\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no").cast("bigint"))
-    return M.anchored(lines("text"), lines("extraction_text"), "page_id")
+    return M.anchored(_readings(s, d), "page_id", "a", "b")
 
 
 # --- aggregation -------------------------------------------------------------------------------------------------------
@@ -549,7 +552,7 @@ def str27_stable_ids(s: SparkSession, d: str) -> DataFrame:
     return pages(s, d, "text").select("page_id", T.stable_id("v1-", F.col("page_id"), F.col("text")).alias("stable"))
 
 
-@query("""select doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as line from documents""")
+@query("""select doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') as line from documents""")
 def str13_fold_space(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.collapse_space(F.col("text")).alias("line"))
 
