@@ -8,11 +8,13 @@ A stream is the ordered sequence of JSON records of one installation, book or so
 Order inside a stream is needed, yet a stream may hold a third of all rows. So a stream is cut into blocks of at most
 `BLOCK` sequence numbers. Each block is summarised on its own (its last record, last known types, last version), the small
 summaries of a stream are folded in order to give the state in which each block starts, and each block then lists its changes
-from that state. No task ever holds more than one block or the summaries of one stream.
+from that state. Blocks are read as sorted streams, so no task holds more than one record and a state, and none has to take a
+whole stream.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -80,20 +82,16 @@ def _step(state: dict[str, list] | None, fields: dict[str, list], default: str |
     return out, after
 
 
-def _ordered(pdf: pd.DataFrame) -> Iterator[tuple[int, str | None, Any]]:
-    """(seq, json, version) in order, a row that arrived twice once."""
-    pdf = pdf.sort_values(["seq", "ident"], kind="stable").drop_duplicates(["seq", "ident"])
-    for seq, text, version in zip(pdf["seq"], pdf["json"], pdf["version"], strict=True):
-        yield int(seq), text, None if pd.isna(version) else int(version)
-
-
-def _summary(pdf: pd.DataFrame) -> dict:
-    state, version = None, None
-    for _, text, version in _ordered(pdf):  # noqa: B007 (the last version is kept)
-        fields = _fields(text)
-        if fields is not None:
-            state = _step(state, fields, OPEN)[1]
-    return {"state": state, "version": version}
+def _streamed(batches: Iterator, names: list[str]) -> Iterator[tuple[bool, tuple]]:
+    """(whether a new group of the first three columns begins, row) of sorted rows; a row equal to the one before in everything
+    but its payload, which arrived twice, comes once."""
+    last = None
+    for batch in batches:
+        for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            ident = row[:6]
+            if ident != last:
+                yield last is None or ident[:3] != last[:3], row
+            last = ident
 
 
 def _carry(before: dict | None, summary: dict) -> dict:
@@ -109,49 +107,96 @@ def _carry(before: dict | None, summary: dict) -> dict:
     return {"state": state, "version": summary["version"]}
 
 
+def _batches(rows: Iterator[tuple], names: list[str], types: list) -> Iterator:
+    import pyarrow as pa
+
+    while chunk := list(itertools.islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*chunk, strict=True), types, strict=True)], names=names)
+
+
 def changes(records: DataFrame, versioned: tuple[str, ...] = ("pages",), block: int = BLOCK) -> DataFrame:
     """Changes between the records of each stream.
 
     `records`: source_table, stream_key, seq, ident (tells apart rows of the same seq; equal rows count once), json, version.
     Rows without stream_key or seq belong to no stream and are left out. Null records and those that don't decode to an
     object are skipped; for tables in `versioned` a change of `version` (null is a value of its own) is listed for every row.
-    An empty table gives no rows.
+    An empty table gives no rows. Tasks read their rows in order, one after the other; they hold one record and its state.
     """
-    keyed = records.where("stream_key is not null and seq is not null").withColumn("block", F.floor(F.col("seq") / block))
     keys = ["source_table", "stream_key", "block"]
+    columns = [*keys, "start", "seq", "ident", "json", "version"]
+    keyed = (
+        records.where("stream_key is not null and seq is not null")
+        .withColumn("block", F.floor(F.col("seq") / block))
+        .select("source_table", "stream_key", "block", F.lit(1).alias("start"), "seq", F.coalesce("ident", F.lit("")).alias("ident"), "json", "version")
+    )
 
-    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, json.dumps(_summary(pdf))]], columns=[*keys, "state"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        carried, out = None, []
-        for row in pdf.sort_values("block").itertuples(index=False):
-            out.append((row.source_table, row.stream_key, row.block, None if carried is None else json.dumps(carried)))
-            carried = _carry(carried, json.loads(row.state))
-        return pd.DataFrame(out, columns=[*keys, "state"])
-
-    def differences(key: tuple, rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        table, stream, _ = key
-        out = []
-        start = None
-        if len(starts) and starts["state"].iloc[0]:
-            start = json.loads(starts["state"].iloc[0])
-        first = start is None
-        state, version = (None, None) if first else (start["state"], start["version"])
-        for seq, text, now in _ordered(rows):
-            if table in versioned:
-                if not first and now != version:
-                    out.append((table, stream, seq, "version", "layout_schema_version", ""))
-                first, version = False, now
-            fields = _fields(text)
-            if fields is not None:
-                found, state = _step(state, fields, None)
-                out += [(table, stream, seq, c, f, n) for c, f, n in found]
-        return pd.DataFrame(out, columns=["source_table", "stream_key", "seq", "change", "field", "new_field"])
-
-    kinds = "source_table string, stream_key string, block long, state string"
-    starts = keyed.groupBy(*keys).applyInPandas(summarise, kinds).groupBy("source_table", "stream_key").applyInPandas(fold, kinds)
-    return keyed.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(differences, CHANGES)
+    def ordered(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys, "start", "seq", "ident")
+
+    def summarise(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows() -> Iterator[tuple]:
+            key, state, version = None, None, None
+            for new, (t, k, b, _, _, _, text, now) in _streamed(batches, columns):
+                if new:
+                    if key is not None:
+                        yield (*key, json.dumps({"state": state, "version": version}))
+                    key, state = (t, k, b), None
+                version = now
+                fields = _fields(text)
+                if fields is not None:
+                    state = _step(state, fields, OPEN)[1]
+            if key is not None:
+                yield (*key, json.dumps({"state": state, "version": version}))
+
+        yield from _batches(rows(), [*keys, "state"], [pa.string(), pa.string(), pa.int64(), pa.string()])
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows() -> Iterator[tuple]:
+            last, carried = None, None
+            for batch in batches:
+                for t, k, b, state in zip(*(batch.column(n).to_pylist() for n in [*keys, "state"]), strict=True):
+                    if (t, k) != last:
+                        last, carried = (t, k), None
+                    if carried is not None:
+                        yield t, k, b, json.dumps(carried)
+                    carried = _carry(carried, json.loads(state))
+
+        yield from _batches(rows(), [*keys, "json"], [pa.string(), pa.string(), pa.int64(), pa.string()])
+
+    def differences(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows() -> Iterator[tuple]:
+            first, state, version = True, None, None
+            for new, (t, k, _, start, seq, _, text, now) in _streamed(batches, columns):
+                if new:
+                    first, state, version = True, None, None
+                if start == 0:
+                    carried = json.loads(text)
+                    first, state, version = False, carried["state"], carried["version"]
+                    continue
+                if t in versioned:
+                    if not first and now != version:
+                        yield t, k, seq, "version", "layout_schema_version", ""
+                    version = now
+                first = False
+                fields = _fields(text)
+                if fields is not None:
+                    found, state = _step(state, fields, None)
+                    for c, f, n in found:
+                        yield t, k, seq, c, f, n
+
+        yield from _batches(rows(), ["source_table", "stream_key", "seq", "change", "field", "new_field"], [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()])
+
+    kinds = "source_table string, stream_key string, block long, "
+    summaries = ordered(keyed).mapInArrow(summarise, kinds + "state string")
+    starts = summaries.repartition("source_table", "stream_key").sortWithinPartitions(*keys).mapInArrow(fold, kinds + "json string")
+    starts = starts.select(*keys, F.lit(0).alias("start"), F.lit(0).alias("seq"), F.lit("").alias("ident"), "json", F.lit(None).cast(keyed.schema["version"].dataType).alias("version"))
+    return ordered(keyed.union(starts)).mapInArrow(differences, CHANGES)
 
 
 #: Promotion lattice of field types: a null gives way to anything, equal types stay, everything else meets in text (JSON text for arrays and objects).
