@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every session should have; a cluster may set sizes of its own.
 DEFAULTS = {
@@ -38,3 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="pagewright-checkpoint-")
     sc.setCheckpointDir(where)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written as a table in the checkpoint folder and read from there: cuts the lineage, survives lost executors
+    and is smaller than a checkpoint of rows."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
