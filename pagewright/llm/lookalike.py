@@ -118,6 +118,14 @@ def representatives(counts: dict[str, int] | None = None) -> dict[str, str]:
     return out
 
 
+class Kept(dict):
+    """Translation table that learns the characters it leaves alone: a miss costs far more than a hit."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
 class Rewriter:
     """Rewrites texts by a table member -> representative."""
 
@@ -130,19 +138,26 @@ class Rewriter:
             self.machine.add_word(member, (len(member), rep))
         self.machine.make_automaton()
         self.plain = not any(m.isascii() for m in table)
+        # members of one character alone need no automaton: most texts hold none that ends as a longer member does
+        self.single = Kept({ord(m): rep for m, rep in table.items() if len(m) == 1})
+        self.members = {m for m in table if len(m) == 1}
+        self.longer = {m[-1] for m in table if len(m) > 1}
 
     def __call__(self, text: str) -> str:
         if self.plain and text.isascii():
             return text
-        out, at = [], 0
-        for end, (n, rep) in self.machine.iter_long(text):
-            start = end + 1 - n
-            out.append(text[at:start])
-            out.append(rep)
-            at = end + 1
-        if out:
-            out.append(text[at:])
-            text = "".join(out)
+        if not self.longer.isdisjoint(text):
+            out, at = [], 0
+            for end, (n, rep) in self.machine.iter_long(text):
+                start = end + 1 - n
+                out.append(text[at:start])
+                out.append(rep)
+                at = end + 1
+            if out:
+                out.append(text[at:])
+                text = "".join(out)
+        elif not self.members.isdisjoint(text):
+            text = text.translate(self.single)
         if "­" in text:  # a soft hyphen shows at a line's end only
             text = text.replace("­\n", "-\n").replace("­", "")
         return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)

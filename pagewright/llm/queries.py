@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.llm import leakage, lookalike, repeated, scans, spam, tokens
-from pagewright.session import ensure_checkpoint_dir
+from pagewright.session import cut
 from pagewright.sources.tables import KEYS, once_wide, table
 
 FIELDS = ["text", "extraction_text"]
@@ -24,8 +24,7 @@ def p2_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    return scans.noise(table(spark, d, "pages"), lambda df: df.checkpoint())
+    return scans.noise(table(spark, d, "pages"), cut)
 
 
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:

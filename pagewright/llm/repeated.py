@@ -32,13 +32,13 @@ class _Letters(dict):
 
 
 @lru_cache(maxsize=1)
-def _letters() -> dict:
+def letters() -> dict:
     return _Letters({i: _Letters().__missing__(i) for i in range(128)})
 
 
 def line_keys(text: str) -> list[str]:
     """The letters of each line (split at line feeds); '' for a line without a letter."""
-    return rewriter()(text).translate(_letters()).split("\n")
+    return rewriter()(text).translate(letters()).split("\n")
 
 
 def hashed_lines(pages: DataFrame) -> DataFrame:
