@@ -70,4 +70,12 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_schema, p1_settings, p1_books, p1_layouts, p4_found, p4_values)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": """with p as (select distinct page_id, blocks_json, extraction_json, layout_source_json from pages),
+ src as (select 'pages.blocks_json' as f, page_id as id, 0 as n, blocks_json as j from p union all select 'pages.extraction_json', page_id, 0, extraction_json from p
+  union all select 'pages.layout_source_json', page_id, 0, layout_source_json from p union all select distinct 'books.layout_json', id, file_no, layout_json from books),
+ dec as (select f, id, n, case when json_type(j) = 'VARCHAR' then case when json_valid(j->>'$') then j->>'$' end else j end as j from src where json_valid(j)),
+ o as (select dec.f, dec.id as rid, dec.n, ltrim(replace(replace(replace(substr(t.fullkey, 2), '[', '/'), ']', ''), '.', '/'), '/') as path from dec, json_tree(dec.j) t where t.type = 'OBJECT' and t.fullkey <> '$')
+ select f as source_field, rid as record_id, cast(n as integer) as file_no, path as node_path,
+ case when regexp_full_match(path, '[0-9/]+') then '' else regexp_replace(path, '(^|/)[^/]*[^0-9/][^/]*(/[0-9]+)*$', '') end as parent_path from o""",
+}
