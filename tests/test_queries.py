@@ -7,8 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from pagewright.plans import corpus, reference
+from pagewright.plans import corpus, document, reference
 
+assert document  # adds its queries to those of `reference`
+SQL = {**reference.SQL, **corpus.SQL}
+QUERIES = {**reference.QUERIES, **corpus.QUERIES}
 D = os.environ.get("PAGEWRIGHT_DATA", "/root/testdata/sf0.001")
 
 
@@ -26,12 +29,12 @@ def rows(pdf):
     return Counter(map(tuple, pdf.astype(object).where(pdf.notna(), None).map(fix).values.tolist()))
 
 
-@pytest.mark.parametrize("name", sorted(reference.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    got, want = reference.QUERIES[name](spark, D).toPandas(), duck.execute(reference.SQL[name]).df()
+    got, want = QUERIES[name](spark, D).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted({**reference.QUERIES, **corpus.QUERIES}.keys() - reference.SQL.keys()))
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
 def test_runs(spark, name):
-    assert {**reference.QUERIES, **corpus.QUERIES}[name](spark, D).count() >= 0
+    assert QUERIES[name](spark, D).count() >= 0
