@@ -55,6 +55,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), items)
 
 
+def p7_changed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which half of an item stands with its numbers, names and units consistently changed (re-parameterised)."""
+    items = [(r.item_id, r.text) for r in table(spark, d, "eval_items").select("item_id", "text").collect()]
+    return leakage.leaked(table(spark, d, "documents"), items, changed=True)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.flagged(table(spark, d, "documents"))
 
@@ -64,7 +70,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p3_found, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p3_found, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p7_changed, p8_found, p8_shares)}
 SQL = {
     # decoding restores the text; a text's bytes bound its number of ids from above, so only the texts are compared here
 }
