@@ -88,3 +88,11 @@ def test_matching(spark):
 def test_rows_that_arrived_twice(spark):
     df = spark.createDataFrame([(1, "x", 5), (1, "x", 6), (None, "y", 7), (None, "y", 8)], "k int, t string, at int")
     assert once(df, ["k"]).count() == 2 and once_wide(df, ["k"]).count() == 2 and once_wide(df.limit(0), ["k"]).count() == 0
+
+
+def test_cut_tables(spark):
+    from pagewright.session import cut
+
+    df = spark.createDataFrame([(1, "a", None), (2, None, [1])], "k int, t string, a array<int>")
+    assert sorted(map(str, cut(df).collect())) == sorted(map(str, df.collect())) and cut(df.limit(0)).count() == 0
+    assert "ExistingRDD" not in cut(df)._jdf.queryExecution().toString()
