@@ -27,6 +27,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noise(table(spark, d, "pages"), cut)
 
 
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Both fields of every page as continuous paragraphs."""
+    columns = ["page_id", "book_id", "number", *FIELDS, "header_segments_json", "footer_segments_json"]
+    return scans.repaired(once_wide(table(spark, d, "pages").select(*columns), KEYS["pages"]), cut)
+
+
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     return once_wide(table(spark, d, "pages").select("page_id", "book_id", "text"), KEYS["pages"])
 
@@ -70,7 +76,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p3_found, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p7_changed, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_texts, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p7_changed, p8_found, p8_shares)}
 SQL = {
     # decoding restores the text; a text's bytes bound its number of ids from above, so only the texts are compared here
 }
