@@ -55,3 +55,10 @@ def once_wide(df: DataFrame, keys: Iterable[str]) -> DataFrame:
             yield batch if len(keep) == len(rows) else batch.take(pa.array(keep, pa.int64()))
 
     return df.repartition(*[F.col(f"`{k}`") for k in keys]).mapInArrow(first_seen, df.schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, spread over the cores before work that is heavy for each row. A scan with as many
+    partitions as cores or more, as any large table has, is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
