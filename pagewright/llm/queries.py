@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import leakage, lookalike, repeated, scans, spam, tokens
 from pagewright.session import cut
-from pagewright.sources.tables import KEYS, once_wide, table
+from pagewright.sources.tables import KEYS, once_wide, spread, table
 
 FIELDS = ["text", "extraction_text"]
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages").select("page_id", "book_id", *FIELDS))
     return lookalike.same_look(pages, "book_id", "page_id", FIELDS, lookalike.corpus_table(pages, FIELDS))
 
 
@@ -24,7 +28,8 @@ def p2_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.noise(table(spark, d, "pages"), cut)
+    columns = ["page_id", "book_id", "number", *FIELDS, "header_segments_json", "footer_segments_json"]
+    return scans.noise(spread(table(spark, d, "pages").select(*columns)), cut)
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +53,7 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+    return tokens.encode(documents(spark, d), "doc_id", "text")
 
 
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
@@ -58,22 +63,22 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     items = [(r.item_id, r.text) for r in table(spark, d, "eval_items").select("item_id", "text").collect()]  # the held-out suite, taken in bounded blocks
-    return leakage.leaked(table(spark, d, "documents"), items)
+    return leakage.leaked(documents(spark, d), items)
 
 
 def p7_changed(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which half of an item stands with its numbers, names and units consistently changed (re-parameterised)."""
     items = [(r.item_id, r.text) for r in table(spark, d, "eval_items").select("item_id", "text").collect()]
-    return leakage.leaked(table(spark, d, "documents"), items, changed=True)
+    return leakage.leaked(documents(spark, d), items, changed=True)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam.flagged(table(spark, d, "documents"))
+    return spam.flagged(documents(spark, d))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Share of each document's text in each kind of line."""
-    return spam.page_shares(table(spark, d, "documents"))
+    return spam.page_shares(documents(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_texts, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p7_changed, p8_found, p8_shares)}

@@ -25,6 +25,8 @@ SPAM = (1, 2, 3)
 AROUND, FAR = 40, 120
 
 _URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|net|org|info|biz|io|de|fr|cn)(?:/\S*)?", re.I)
+#: What every URL holds, every price, page list and citation, and every table row: cheap tests before the patterns.
+_DOTTED, _DIGIT = re.compile(r"\.\S|//"), re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 _CJK = re.compile("[⺀-⿟㐀-鿿豈-﫿]+")
 _PRICE = re.compile(r"(?:[$€£¥]\s?\d)|\b\d{1,4}[.,]\d\d\b(?!\s*\\\\)")
@@ -33,7 +35,6 @@ _END = re.compile(r"[.!?。！？…][\"'”’»）)]*\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-zß-ÿ])|(?<=[。！？])")
 _NUMBERED = re.compile(r"^\s*(?:\[\d+\]|\(?\d+[.)]|[-*•])\s")
 _PAGES = re.compile(r"(?:,\s*\d+)+\s*$|(?:\.{2,}|…|\s{2,})\s*\d+\s*$|\s\d+\s*$")
-_TABLE = re.compile(r"&|\t|\\\\")
 _MENU = re.compile(r"[|»›>•·/]")
 _STARS = re.compile(r"[★☆♥✔✓]|\b(?:new|hot|sale|neu|promo|sold|buy|cart)\b", re.I)
 _CITED = re.compile(r"^\s*(?:\[\d+\]|\d+\.)\s.*\b1[5-9]\d\d|20\d\d")
@@ -47,7 +48,7 @@ def pieces(text: str) -> list[str]:
 def units(piece: str) -> list[str]:
     """Words of a piece for counting different ones: words in lower case; runs of ideographs as overlapping pairs."""
     out = []
-    for w in _WORD.findall(_URL.sub(" ", piece).lower()):
+    for w in _WORD.findall((_URL.sub(" ", piece) if _DOTTED.search(piece) else piece).lower()):
         if _CJK.match(w) and len(w) > 1:
             out += [w[i : i + 2] for i in range(len(w) - 1)]
         else:
@@ -78,11 +79,12 @@ def observe(parts: list[str]) -> np.ndarray:
         far = _different(flat, mid, max(FAR, len(ts)), 60)
         own = len(set(ts)) / len(ts) if len(ts) >= 8 else 1.0
         at += len(ts)
-        url = bool(_URL.search(p))
+        url = bool(_DOTTED.search(p) and _URL.search(p))
+        digit = bool(_DIGIT.search(p))
         row = (
-            url, url and len(ts) <= 6, bool(_END.search(p)), len(ts) <= 4, len(ts) >= 8, bool(_PRICE.search(p)), len(_TAG.findall(p)) >= 2,
-            ratio < 0.3, 0.3 <= ratio < 0.42, 0.42 <= ratio < 0.55, far < 0.2, 0.2 <= far < 0.3, 0.3 <= far < 0.4, own < 0.4, bool(_NUMBERED.match(p)), bool(_PAGES.search(p)), bool(_TABLE.search(p)),
-            len(_MENU.findall(p)) >= (1 if len(ts) < 8 else 3), bool(_STARS.search(p)), bool(_CITED.search(p)),
+            url, url and len(ts) <= 6, bool(_END.search(p)), len(ts) <= 4, len(ts) >= 8, digit and bool(_PRICE.search(p)), ("#" in p or "@" in p) and len(_TAG.findall(p)) >= 2,
+            ratio < 0.3, 0.3 <= ratio < 0.42, 0.42 <= ratio < 0.55, far < 0.2, 0.2 <= far < 0.3, 0.3 <= far < 0.4, own < 0.4, bool(_NUMBERED.match(p)), digit and bool(_PAGES.search(p)), "&" in p or "\t" in p or "\\\\" in p,
+            len(_MENU.findall(p)) >= (1 if len(ts) < 8 else 3), bool(_STARS.search(p)), digit and bool(_CITED.search(p)),
         )
         out[i] = row
     return out
