@@ -2,7 +2,8 @@
 
 1. Words (for Chinese: each character with its neighbours) are counted over all pages.
 2. Correction candidates: rare words meet frequent ones through an inverted index of character q-grams. A word's q-grams are its
-   two halves (and the second half without its first character), so a single misreading leaves one of them whole.
+   two halves (and the second half without its first character), so a single misreading leaves one of them whole. Words of one or
+   two characters have no such halves: they meet by every form with one or two characters left out.
 3. Gradient-boosted trees rank the candidates by how often the same misreading recurs over the vocabulary, how the counts compare
    and what the words look like. They are fitted on pages that were read twice: a word of one reading that stands corrected in the
    other is a misreading, a word on which both agree is none. At most `SAMPLE` pages are used for this.
@@ -79,7 +80,7 @@ def words_of(line: str) -> list[str]:
             out.append("")
             continue
         t = t.strip(_EDGE).lower()
-        out.append("" if len(t) < 2 or not any(c.isalpha() for c in t) or _ORDINAL.match(t) or _CJK.search(t) else t)
+        out.append("" if not any(c.isalpha() for c in t) or _ORDINAL.match(t) or _CJK.search(t) else t)
     return out
 
 
@@ -171,7 +172,8 @@ def _edit(w: str, c: str) -> tuple[str, str] | None:
 def candidates(vocab: DataFrame, least: int = 5, ratio: int = 4) -> DataFrame:
     """(w, c, nw, nc, a, b): words and the more frequent words they may be misreadings of; a was read for b."""
     han = F.col("word").rlike("^.[㐀-鿿豈-﫿].$")
-    right = vocab.where(F.col("n") >= least).where(han | F.col("word").rlike("^[\\p{L}'’-]{3,}$"))
+    right = vocab.where(F.col("n") >= least).where(han | F.col("word").rlike("^[\\p{L}'’-]+$"))
+    long = F.length("word") >= 3
     n, h = F.length("word"), F.floor(F.length("word") / 2).cast("int")
     grams = F.when(han, F.array(F.struct(F.lit("h").alias("k"), F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1)).alias("g"), F.lit(3).alias("m")))).otherwise(
         F.array(
@@ -180,7 +182,7 @@ def candidates(vocab: DataFrame, least: int = 5, ratio: int = 4) -> DataFrame:
             F.struct(F.lit("t").alias("k"), F.expr("substring(word, cast(length(word) / 2 as int) + 2)").alias("g"), n.alias("m")),
         )
     )
-    index = right.select(F.col("word").alias("c"), F.col("n").alias("nc"), F.inline(grams))
+    index = right.where(long).select(F.col("word").alias("c"), F.col("n").alias("nc"), F.inline(grams))
     probes = F.when(han, F.array(F.struct(F.lit("h").alias("k"), F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1)).alias("g"), F.lit(3).alias("m")))).otherwise(
         F.expr(
             "flatten(transform(array(length(word) - 1, length(word), length(word) + 1), m -> array("
@@ -189,8 +191,18 @@ def candidates(vocab: DataFrame, least: int = 5, ratio: int = 4) -> DataFrame:
             "named_struct('k', 't', 'g', right(word, m - cast(m / 2 as int) - 1), 'm', m))))"
         )
     )
-    asked = vocab.where(F.length("word") >= 3).select(F.col("word").alias("w"), F.col("n").alias("nw"), F.inline(probes))
+    asked = vocab.where(long).select(F.col("word").alias("w"), F.col("n").alias("nw"), F.inline(probes))
     met = asked.join(index, ["k", "g", "m"]).where(f"w <> c and nc >= {ratio} * nw").select("w", "c", "nw", "nc")
+    # a pair with a word of one or two characters: the other has three at most. Two characters for two would leave nothing of the word,
+    # so one side of the edit is a single character
+    rest = F.expr(
+        "flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least(2, length(word) - i + 1)), k -> "
+        "named_struct('head', substring(word, 1, i - 1), 'tail', substring(word, i + k), 'k', k))))"
+    )
+    few = (F.length("word") <= 3) & ~han
+    short_right = right.where(few).select(F.col("word").alias("c"), F.col("n").alias("nc"), F.inline(rest)).withColumnRenamed("k", "l")
+    short = vocab.where(few).select(F.col("word").alias("w"), F.col("n").alias("nw"), F.inline(rest))
+    met = met.union(short.join(short_right, ["head", "tail"]).where(f"w <> c and nc >= {ratio} * nw and least(length(w), length(c)) < 3 and least(k, l) = 1").select("w", "c", "nw", "nc"))
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -273,8 +285,9 @@ def ranker(pairs: DataFrame, sample: list) -> Boost:
 
 
 def corrections(pairs: DataFrame, model: Boost) -> DataFrame:
-    """(word, right, score): the words taken for misreadings, each with its best replacement. A misreading of letters for letters
-    must recur in at least three words, and for an ideograph be more than one in 25 of its places."""
+    """(word, right, score): the words taken for misreadings, each with its best replacement. A misreading of letters for letters,
+    and one of or into a word of one or two characters (which leaves next to nothing of it), must recur in at least three words, and
+    one for an ideograph be more than one in 25 of its places."""
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -285,8 +298,8 @@ def corrections(pairs: DataFrame, model: Boost) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("w", "c", "a", "b")), pa.array(p[p > 0.5])], names=["word", "right", "a", "b", "score"])
 
     ranked = pairs.where("share >= 0.04").mapInArrow(score, "word string, right string, a string, b string, score double")
-    often = ranked.groupBy("a", "b").agg(F.count("*").alias("k")).where("k >= 3 or not a rlike '^\\\\p{L}+$'").select("a", "b")
-    ranked = ranked.join(often, ["a", "b"])
+    often = ranked.groupBy("a", "b").agg(F.count("*").alias("k"))
+    ranked = ranked.join(often, ["a", "b"]).where("k >= 3 or (not a rlike '^\\\\p{L}+$' and least(length(word), length(right)) >= 3)")
     return ranked.groupBy("word").agg(F.max_by("right", F.struct("score", "right")).alias("right"), F.max("score").alias("score"))
 
 

@@ -86,6 +86,24 @@ def test_candidates_meet_by_half_words(spark):
     assert got == {("lighthousc", "lighthouse", "c", "e"), ("liqhthouse", "lighthouse", "q", "g"), ("thermorneter", "thermometer", "rn", "m"), (".末完", ".未完", "末", "未")}
 
 
+def test_short_words_are_candidates(spark):
+    vocab = [("of", 100), ("0f", 2), ("la", 90), ("l@", 3), ("1a", 1), ("de", 80), ("cle", 4), ("the", 70), ("th", 1), ("a", 60), ("@n", 1), ("an", 40), ("m2", 7)]
+    got = {(r.w, r.c, r.a, r.b) for r in S.candidates(spark.createDataFrame(vocab, "word string, n long")).collect()}
+    assert {("0f", "of", "0", "o"), ("l@", "la", "@", "a"), ("1a", "la", "1", "l"), ("cle", "de", "cl", "d"), ("@n", "an", "@", "a"), ("th", "a", "th", "a")} <= got
+    assert not any(w == a and c == b and len(a) == len(b) == 2 for w, c, a, b in got)
+    assert S.words_of("a 1 l@ 0f — I") == ["a", "", "l@", "0f", "", "i"]
+
+
+def test_short_corrections_must_recur(spark):
+    class Sure:
+        def predict(self, x):
+            return np.ones(len(x))
+
+    rows = [("l@", "la", "@", "a"), ("qu@rry", "quarry", "@", "a"), ("m@p", "map", "@", "a"), ("m2", "mit", "2", "it"), ("qu4rry", "quarry", "4", "a")]
+    pairs = spark.createDataFrame([(*r, 1, 100, 3, 3, 1.0) for r in rows], "w string, c string, a string, b string, nw long, nc long, kinds long, mass long, share double")
+    assert {r.word for r in S.corrections(pairs, Sure()).collect()} == {"l@", "qu@rry", "m@p", "qu4rry"}
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
