@@ -4,7 +4,9 @@ Items and documents are reduced to streams of letters and digits (look-alikes fo
 punctuation dropped), so words broken over lines join by themselves. Two kinds of windows of an item are looked up in every
 document by hash:
 
-* template windows: numbers, units and names are replaced by typed placeholders first, so re-parameterised copies meet;
+* template windows (for re-parameterised copies, `changed`): whole numbers, units and names are replaced by typed placeholders first;
+  the place of a window in both templates is kept, and the stretch that both have in common is followed from it. A window is no
+  wider than the shortest half of its item, so a copy whose template is unbroken always holds one;
 * literal windows, at every word start, as wide as every run of words that a sufficient passage must hold without a replaced
   word (see `clean_run`). Whatever passage counts, one of these windows lies in it: the look-up loses nothing.
 
@@ -28,17 +30,17 @@ from pagewright.llm.lookalike import rewriter
 
 BLOCK_CHARS = 20_000_000
 WIDTHS = (24, 16, 12, 8, 6, 5, 4, 3, 2, 1)
-#: Template windows: placeholders make them shorter than they look.
-TEMPLATE_WIDTH = 40
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 # Units that may follow a number, in the texts' languages.
 UNITS = "minutes hours days pieces parts stone acres furlongs feet inch pages sheets lines stresses faults copies Minuten Stunden Tage Stück Teile Gründe Größen minutes heures jours pièces parts 分 日 亩 步 座 处 页"
 _CJK = re.compile("[⺀-⿟㐀-鿿豈-﫿]")
-_NUMBER = re.compile(r"\d+")
-_UNIT = re.compile(r"(?<=\x02)\s*(?:" + "|".join(sorted(set(UNITS.split()), key=len, reverse=True)) + r")\b")
-_NAME = re.compile(r"(?<=[^\W\d_A-Z] )[A-Z][^\W\d_]+(?:[ -][A-Z][^\W\d_]+)*")
+_UPPER = "A-Z"
+_SLOT = re.compile(
+    rf"(?P<name>(?<=[^\W\d_{_UPPER}] )[{_UPPER}][^\W\d_]+(?:[ -][{_UPPER}][^\W\d_]+)*)"
+    r"|(?P<number>\d+)(?:\s*(?P<unit>" + "|".join(sorted(set(UNITS.split()), key=len, reverse=True)) + r")\b)?"
+)
 
 
 class _Kept(dict):
@@ -61,10 +63,78 @@ def stream(text: str) -> str:
     return rewriter()(text).translate(_kept())
 
 
+class Slotted:
+    """The stream with one typed placeholder for a whole name (1), number (2) or unit (3): `stream`; what stands in each by its place:
+    `slots`; and the words: (place, end, count) of literal words and slots. Of Chinese every character is a word."""
+
+    def __init__(self, text: str, cjk: bool = False):
+        text = " ".join(rewriter()(text).split())
+        parts: list[str] = []
+        self.slots: dict[int, str] = {}
+        self.words: list[tuple[int, int, int]] = []
+        self.size = at = 0
+
+        def literal(piece: str) -> None:
+            glued = bool(parts) and not piece[:1].isspace()
+            for n, w in enumerate(piece.split()):
+                w = w.translate(_kept())
+                if cjk:
+                    self.words += [(self.size + k, self.size + k + 1, 1) for k in range(len(w))]
+                elif w:
+                    self.words.append((self.size, self.size + len(w), 0 if glued and n == 0 else 1))
+                parts.append(w)
+                self.size += len(w)
+
+        for m in _SLOT.finditer(text):
+            literal(text[at : m.start()])
+            for mark, kind in (("\x01", "name"), ("\x02", "number"), ("\x03", "unit")):
+                if said := m.group(kind):
+                    self.slots[self.size] = stream(said)
+                    self.words.append((self.size, self.size + 1, len(stream(said)) if cjk else len(said.split())))
+                    parts.append(mark)
+                    self.size += 1
+            at = m.end()
+        literal(text[at:])
+        self.stream = "".join(parts)
+
+
 def template(text: str) -> str:
     """The stream with typed placeholders for names (1), numbers (2) and units (3)."""
-    text = _NAME.sub("\x01", " ".join(rewriter()(text).split()))
-    return _UNIT.sub("\x03", _NUMBER.sub("\x02", text)).translate(_kept())
+    return Slotted(text).stream
+
+
+def same_template(doc: Slotted, item: Slotted, place: int, at: int) -> tuple[int, int]:
+    """The longest stretch of an item's template around `at` that a document's template holds around `place`: from and to, in the item."""
+    a, b = doc.stream, item.stream
+    lo = 0
+    while lo < min(place, at) and a[place - lo - 1] == b[at - lo - 1]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a) - place, len(b) - at) and a[place + hi] == b[at + hi]:
+        hi += 1
+    return at - lo, at + hi
+
+
+def changed_slots(doc: Slotted, item: Slotted, shift: int, lo: int, hi: int, n: int) -> tuple[bool, bool]:
+    """Of the stretch from `lo` to `hi` of an item of n words, which stands `shift` further in the document: whether it is a passage
+    that counts as it is, and whether half of the item in it has slots changed, equal ones equally."""
+    inside = [x for x in item.words if lo <= x[0] and x[1] <= hi]
+    flags = [item.slots.get(x, "") == doc.slots.get(x + shift, "") for x, _, k in inside for _ in range(k)]
+    if enough(flags, n):
+        return True, False
+    for i in range(len(inside)):
+        seen: dict[str, str] = {}
+        count, other = 0, False
+        for x, _, k in inside[i:]:
+            if x in item.slots:
+                old, new = item.slots[x], doc.slots[x + shift]
+                if seen.setdefault(old, new) != new:
+                    break
+                other = other or old != new
+            count += k
+            if other and count >= max(1, sufficient(n)):
+                return False, True
+    return False, False
 
 
 def words_of(text: str) -> list[str]:
@@ -102,12 +172,13 @@ def _codes(text: str) -> np.ndarray:
 
 
 class Index:
-    """Windows of a block of items: per width the sorted hashes with their (item, word) or (item, offset)."""
+    """Windows of a block of items: per width the sorted hashes with their (item, word) or (item, place in its template)."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [words_of(t) for _, t in items]
         self.slots = [slots_of(t) for _, t in items]
+        self.plain: dict[int, Slotted] = {}
         found: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
         for n, words in enumerate(self.words):
             if not words:
@@ -122,9 +193,20 @@ class Index:
                 if at < len(h):
                     found.setdefault(("literal", width), []).append((int(h[at]), n, i))
                 at += len(w)
-            plain = template(items[n][1])
-            for h in hashes(_codes(plain), TEMPLATE_WIDTH):
-                found.setdefault(("template", TEMPLATE_WIDTH), []).append((int(h), n, -1))
+            self.plain[n] = plain = Slotted(items[n][1], all(len(w) == 1 for w in words))
+            # as wide as the shortest half of the item, so that every copy holds a window
+            least, shortest = max(1, sufficient(len(words))), len(plain.stream)
+            for i in range(len(plain.words)):
+                count = 0
+                for _, end, k in plain.words[i:]:
+                    count += k
+                    if count >= least:
+                        shortest = min(shortest, end - plain.words[i][0])
+                        break
+            if shortest:
+                width = next(w for w in WIDTHS if w <= shortest)
+                for at, h in enumerate(hashes(_codes(plain.stream), width)):
+                    found.setdefault(("template", width), []).append((int(h), n, at))
         self.tables = {}
         for key, rows in found.items():
             rows.sort()
@@ -296,6 +378,7 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], kind: str, chang
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        # without `changed` literal windows decide alone: none of them is missing in a passage that counts
         index = _index(shared.value)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
@@ -304,8 +387,11 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], kind: str, chang
                 found: dict[int, dict[int, list[tuple[int, int]]]] = {}
                 for t, place, item, word in index.hits("literal", [stream(x) for x in texts]):
                     found.setdefault(t, {}).setdefault(item, []).append((word, place))
-                for t, _, item, _ in index.hits("template", [template(x) for x in texts]):
+                plain = [Slotted(x) for x in texts] if changed else []
+                alike: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                for t, place, item, at in index.hits("template", [x.stream for x in plain]) if changed else ():
                     found.setdefault(t, {}).setdefault(item, [])
+                    alike.setdefault((t, item), []).append((place, at))
                 rows, who = [], []
                 for t, by_item in found.items():
                     doc = Document(texts[t])
@@ -313,7 +399,18 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], kind: str, chang
                         words = index.words[item]
                         done: set[int] = set()  # words whose place a tried alignment already holds
                         new = False
-                        for word, place in (seeds or []) + (template_seeds(doc, words) if changed or not seeds else []):
+                        whole_item = False
+                        upto: dict[int, int] = {}  # of each alignment, up to where it has been followed
+                        for place, at in alike.get((t, item), ()):
+                            if at < upto.get(place - at, 0):
+                                continue
+                            a, b = same_template(plain[t], index.plain[item], place, at)
+                            upto[place - at] = b
+                            leak, other = changed_slots(plain[t], index.plain[item], place - at, a, b, len(words))
+                            whole_item, new = whole_item or leak, new or other
+                        if whole_item:
+                            continue
+                        for word, place in seeds + (template_seeds(doc, words) if changed else []):
                             if (key := place * 4096 + word) in done:
                                 continue
                             most = len(words) if changed else None
@@ -341,7 +438,8 @@ def _search(documents: DataFrame, items: list[tuple[int, str]], kind: str, chang
 
 
 def template_seeds(doc: Document, words: list[str]) -> list[tuple[int, int]]:
-    """Places of the item's longest words in a document that only its template led to."""
+    """Places of the item's longest words in a document that its template led to: further alignments, word by word, for copies
+    whose names are broken over lines or written in capitals."""
     out = []
     for i in sorted(range(len(words)), key=lambda i: -len(words[i]))[:3]:
         at = doc.stream.find(words[i])

@@ -94,3 +94,22 @@ def test_reparameterised_items(spark):
     assert {tuple(r) for r in L.leaked(df, [(7, item)], changed=True).collect()} == {(0, 7)}
     assert {tuple(r) for r in L.leaked(df, [(7, item)]).collect()} == {(1, 7)}
     assert L.slots_of(ITEM) == {5, 6, 9, 11, 27} and L.slots_of("若每75日") == {2, 3}
+
+
+def changed(spark, item, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in L.leaked(df, [(7, item)], changed=True).collect()}
+
+
+def test_copies_in_long_texts_with_common_words(spark):
+    """The item's longest words are changed names, or stand earlier in the document."""
+    item = "Was it at Selnevmerestead that 12 men of Gilnevfordhaven cut 40 acres for Tamo Ostbarrrholm and then hid 7 parts in Dorfenholmgarth or did Barquinmarchdale pay 18 to him"
+    swap = {"Selnevmerestead": "Eloville", "12": "1800", "Gilnevfordhaven": "Ubersee", "40": "3", "Ostbarrrholm": "Elan", "7": "66", "Dorfenholmgarth": "Ulm", "Barquinmarchdale": "Kelm", "18": "205"}
+    other = " ".join(swap.get(w, w) for w in item.split())
+    early = "acres parts then that men for hid cut did pay him or to at it in of and"
+    assert changed(spark, item, [f"{early} {filler(50)} {other} {filler(9, 1)}", f"{early} {filler(50)}"]) == {0}
+
+
+def test_equal_slots_change_equally(spark):
+    item = "we saw 93 that 93 kept and 93 of 93 on 93 as 93"
+    assert changed(spark, item, [item.replace("93", "7"), "we saw 1 that 2 kept and 3 of 4 on 5 as 6"]) == {0}
