@@ -36,10 +36,13 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # Units that may follow a number, in the texts' languages.
 UNITS = "minutes hours days pieces parts stone acres furlongs feet inch pages sheets lines stresses faults copies Minuten Stunden Tage Stück Teile Gründe Größen minutes heures jours pièces parts 分 日 亩 步 座 处 页"
 _CJK = re.compile("[⺀-⿟㐀-鿿豈-﫿]")
-_UPPER = "A-Z"
+_UPPER = "".join(c for c in map(chr, [*range(0x530), *range(0x1E00, 0x2000)]) if c.isupper())
+#: Characters that end a Chinese place name to the left, and those that close it. Names without such an ending can't be told from words.
+_BEFORE = "与向在若而后的从于为是至到之和及自把由被得问用对给离往经过某该此各每以其"
+_PLACES = "村镇县乡市省州府城"
 _SLOT = re.compile(
-    rf"(?P<name>(?<=[^\W\d_{_UPPER}] )[{_UPPER}][^\W\d_]+(?:[ -][{_UPPER}][^\W\d_]+)*)"
-    r"|(?P<number>\d+)(?:\s*(?P<unit>" + "|".join(sorted(set(UNITS.split()), key=len, reverse=True)) + r")\b)?"
+    rf"(?P<name>(?<=[^\W\d_{_UPPER}] )[{_UPPER}][^\W\d_]+(?:[ -][{_UPPER}][^\W\d_]+)*|(?:(?![{_BEFORE}{_PLACES}])[㐀-鿿豈-﫿]){{1,3}}[{_PLACES}])"
+    r"|(?P<number>\d+(?:[.,]\d+)*)(?:\s*(?P<unit>(?:" + "|".join(sorted((u for u in set(UNITS.split()) if not _CJK.search(u)), key=len, reverse=True)) + r")\b|[" + "".join(u for u in UNITS.split() if _CJK.search(u)) + "]))?"
 )
 
 

@@ -101,10 +101,19 @@ def changed(spark, item, texts):
     return {r.doc_id for r in L.leaked(df, [(7, item)], changed=True).collect()}
 
 
+def test_chinese_copies_with_other_names_and_numbers(spark):
+    item = "若白岭村的山路每25日快54分，而石渚村的纸张每10日慢19分，则二者于第几日重合于安静的手稿之下？为何1933年以后青岭村不再向松岭县借用完整的山路？"
+    other = item
+    for a, b in (("白岭村", "南溪镇"), ("石渚村", "松湾县"), ("25", "7"), ("54", "108"), ("10", "9"), ("19", "340"), ("1933", "73"), ("青岭村", "大湾村"), ("松岭县", "白浦镇")):
+        other = other.replace(a, b)
+    torn = other.replace("山路", "水车").replace("纸张", "河堤").replace("重合", "相见").replace("手稿", "老街")
+    assert changed(spark, item, ["人们常说。" + other + "日后", item, torn, "若青湾村的人" * 9]) == {0}
+
+
 def test_copies_in_long_texts_with_common_words(spark):
     """The item's longest words are changed names, or stand earlier in the document."""
     item = "Was it at Selnevmerestead that 12 men of Gilnevfordhaven cut 40 acres for Tamo Ostbarrrholm and then hid 7 parts in Dorfenholmgarth or did Barquinmarchdale pay 18 to him"
-    swap = {"Selnevmerestead": "Eloville", "12": "1800", "Gilnevfordhaven": "Ubersee", "40": "3", "Ostbarrrholm": "Elan", "7": "66", "Dorfenholmgarth": "Ulm", "Barquinmarchdale": "Kelm", "18": "205"}
+    swap = {"Selnevmerestead": "Éloville", "12": "1,800", "Gilnevfordhaven": "Übersee", "40": "3", "Ostbarrrholm": "Élan", "7": "66", "Dorfenholmgarth": "Ulm", "Barquinmarchdale": "Kelm", "18": "205"}
     other = " ".join(swap.get(w, w) for w in item.split())
     early = "acres parts then that men for hid cut did pay him or to at it in of and"
     assert changed(spark, item, [f"{early} {filler(50)} {other} {filler(9, 1)}", f"{early} {filler(50)}"]) == {0}
