@@ -62,3 +62,18 @@ class Boost:
                 node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
             score += step[node - (2**DEPTH - 1)]
         return 1 / (1 + np.exp(-score))
+
+    def bounds(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Limits of the probability of yes for rows whose features are only known to lie between `low` and `high`."""
+        least, most = np.full(len(low), self.base), np.full(len(low), self.base)
+        inner = 2**DEPTH - 1
+        for feature, cut, step in self.made:
+            reach = np.zeros((len(low), 2 * inner + 1), bool)
+            reach[:, 0] = True
+            for node in range(inner):
+                reach[:, 2 * node + 1] = reach[:, node] & (low[:, feature[node]] <= cut[node])
+                reach[:, 2 * node + 2] = reach[:, node] & (high[:, feature[node]] > cut[node])
+            leaf = reach[:, inner:]
+            least += np.where(leaf, step, np.inf).min(1)
+            most += np.where(leaf, step, -np.inf).max(1)
+        return 1 / (1 + np.exp(-least)), 1 / (1 + np.exp(-most))

@@ -11,8 +11,9 @@
    broken artificially) and whether a line belongs to the frame (fitted on lines the margin segments name).
 5. The frame reaches from a page's edge to the first line that isn't furniture.
 
-The vocabulary that tasks hold is bounded by `KNOWN` words; words outside it aren't taken to be right, they are joined with the
-table of corrections like all suspicious words. Nothing of the size of the corpus is collected.
+Tasks hold the most frequent words, at most `KNOWN` of them, and no result depends on that bound: words outside are joined with the
+table of corrections, and a line's end is decided in the task only if its decision is the same for every count that the words outside
+may have; all others are joined with the whole vocabulary (`decided`). Nothing of the size of the corpus is collected.
 """
 
 from __future__ import annotations
@@ -34,7 +35,11 @@ from pagewright.llm.repeated import SALT, letters
 
 FIELDS = ("text", "extraction_text")
 SAMPLE = 3000  #: pages from which classifiers are fitted
-KNOWN = 400_000  #: words a task holds
+FRAME_SAMPLE = 1000  #: of them, pages from which the frame's trees are fitted
+KNOWN = 400_000  #: words a task holds, at most
+RATIO = 4  #: a word is at least so many times as frequent as a misreading of it
+TRAIN_WORDS = 20_000  #: words from which the trees for line ends are fitted, most frequent ones, and as many of all
+FOLDED = 0.002  #: share of all misreadings from which on a kind of them is folded in titles, so that there are at most 1 / FOLDED kinds
 FLUSH = 200_000  #: distinct words counted in a task before they are handed on
 
 _CJK = re.compile("[㐀-鿿豈-﫿]")
@@ -169,40 +174,42 @@ def _edit(w: str, c: str) -> tuple[str, str] | None:
     return (a, b) if 1 <= len(a) <= 2 and 1 <= len(b) <= 2 else None
 
 
-def candidates(vocab: DataFrame, least: int = 5, ratio: int = 4) -> DataFrame:
-    """(w, c, nw, nc, a, b): words and the more frequent words they may be misreadings of; a was read for b."""
+def candidates(vocab: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """(w, c, nw, nc, a, b): words and the words at least `ratio` times as frequent that they may be misreadings of; a was read for b.
+
+    Inverted index of character q-grams. Words of six characters and more are indexed by their halves (three characters at least) with
+    their length. A shorter word is indexed by what is left around a gap of one or two characters, so only words that differ in the gap
+    meet. An ideograph is indexed by its neighbours; without two ideographs for neighbours these say so little that the index is split
+    in `SALT` parts, each probed on its own."""
     han = F.col("word").rlike("^.[㐀-鿿豈-﫿].$")
-    right = vocab.where(F.col("n") >= least).where(han | F.col("word").rlike("^[\\p{L}'’-]+$"))
-    long = F.length("word") >= 3
-    n, h = F.length("word"), F.floor(F.length("word") / 2).cast("int")
-    grams = F.when(han, F.array(F.struct(F.lit("h").alias("k"), F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1)).alias("g"), F.lit(3).alias("m")))).otherwise(
-        F.array(
-            F.struct(F.lit("p").alias("k"), F.expr("substring(word, 1, cast(length(word) / 2 as int))").alias("g"), n.alias("m")),
-            F.struct(F.lit("s").alias("k"), F.expr("substring(word, cast(length(word) / 2 as int) + 1)").alias("g"), n.alias("m")),
-            F.struct(F.lit("t").alias("k"), F.expr("substring(word, cast(length(word) / 2 as int) + 2)").alias("g"), n.alias("m")),
-        )
-    )
-    index = right.where(long).select(F.col("word").alias("c"), F.col("n").alias("nc"), F.inline(grams))
-    probes = F.when(han, F.array(F.struct(F.lit("h").alias("k"), F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1)).alias("g"), F.lit(3).alias("m")))).otherwise(
-        F.expr(
-            "flatten(transform(array(length(word) - 1, length(word), length(word) + 1), m -> array("
-            "named_struct('k', 'p', 'g', substring(word, 1, cast(m / 2 as int)), 'm', m),"
-            "named_struct('k', 's', 'g', right(word, m - cast(m / 2 as int)), 'm', m),"
-            "named_struct('k', 't', 'g', right(word, m - cast(m / 2 as int) - 1), 'm', m))))"
-        )
-    )
-    asked = vocab.where(long).select(F.col("word").alias("w"), F.col("n").alias("nw"), F.inline(probes))
-    met = asked.join(index, ["k", "g", "m"]).where(f"w <> c and nc >= {ratio} * nw").select("w", "c", "nw", "nc")
-    # a pair with a word of one or two characters: the other has three at most. Two characters for two would leave nothing of the word,
-    # so one side of the edit is a single character
-    rest = F.expr(
-        "flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, least(2, length(word) - i + 1)), k -> "
-        "named_struct('head', substring(word, 1, i - 1), 'tail', substring(word, i + k), 'k', k))))"
-    )
-    few = (F.length("word") <= 3) & ~han
-    short_right = right.where(few).select(F.col("word").alias("c"), F.col("n").alias("nc"), F.inline(rest)).withColumnRenamed("k", "l")
-    short = vocab.where(few).select(F.col("word").alias("w"), F.col("n").alias("nw"), F.inline(rest))
-    met = met.union(short.join(short_right, ["head", "tail"]).where(f"w <> c and nc >= {ratio} * nw and least(length(w), length(c)) < 3 and least(k, l) = 1").select("w", "c", "nw", "nc"))
+    plain = F.when(han, F.concat(F.substring("word", 1, 1), F.substring("word", 3, 1))).rlike("[.0]")
+    right = vocab.where(F.col("n") >= ratio).where(han | F.col("word").rlike("^[\\p{L}'’-]+$"))
+    words = lambda df, w, n: df.select(F.col("word").alias(w), F.col("n").alias(n), "word")
+
+    signs = "concat(substring(word, 1, 1), substring(word, 3, 1))"
+    part = F.when(plain, F.pmod(F.hash("word"), F.lit(SALT))).otherwise(0)
+    parts = F.when(plain, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    met = (
+        words(vocab.where(han), "w", "nw").select("w", "nw", F.expr(signs).alias("g"), F.explode(parts).alias("part"))
+        .join(words(right.where(han), "c", "nc").select("c", "nc", F.expr(signs).alias("g"), part.alias("part")), ["g", "part"])
+        .select("w", "c", "nw", "nc")
+    )
+
+    cut = lambda m: f"cast({m} / 2 as int)"
+    gram = lambda k, g, m: f"named_struct('k', '{k}', 'g', {g}, 'm', {m})"
+    n = "length(word)"
+    index = f"array({gram('p', f'substring(word, 1, {cut(n)})', n)}, {gram('s', f'substring(word, {cut(n)} + 1)', n)}, {gram('t', f'substring(word, {cut(n)} + 2)', n)})"
+    probes = f"flatten(transform(array({n} - 1, {n}, {n} + 1), m -> array({gram('p', f'substring(word, 1, {cut("m")})', 'm')}, {gram('s', f'right(word, m - {cut("m")})', 'm')}, {gram('t', f'right(word, m - {cut("m")} - 1)', 'm')})))"
+    long = words(vocab.where(~han & (F.length("word") >= 5)), "w", "nw").select("w", "nw", F.expr(f"inline({probes})")).where("m >= 6")
+    met = met.union(long.join(words(right.where(~han & (F.length("word") >= 6)), "c", "nc").select("c", "nc", F.expr(f"inline({index})")), ["k", "g", "m"]).select("w", "c", "nw", "nc"))
+
+    # the gap of a pair has one character at least on each side, and on one side one only where a word has one or two characters: two
+    # for two would leave nothing of it
+    gaps = f"inline(flatten(transform(sequence(1, {n}), i -> transform(sequence(1, least(2, {n} - i + 1)), l -> named_struct('head', substring(word, 1, i - 1), 'tail', substring(word, i + l), 'l', l)))))"
+    short = words(vocab.where(~han & (F.length("word") <= 6)), "w", "nw").select("w", "nw", F.expr(gaps))
+    short_right = words(right.where(~han & (F.length("word") <= 5)), "c", "nc").select("c", "nc", F.expr(gaps)).withColumnRenamed("l", "k")
+    met = met.union(short.join(short_right, ["head", "tail"]).where("least(length(w), length(c)) >= 3 or least(k, l) = 1").select("w", "c", "nw", "nc"))
+    met = met.where(f"w <> c and nc >= {ratio} * nw")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -256,8 +263,9 @@ def _tokens(text: str) -> set[str]:
     return {w for line in text.split("\n") for w in words_of(line)[1:-1]} - {""}
 
 
-def ranker(pairs: DataFrame, sample: list) -> Boost:
-    """Boosted trees over candidates, fitted on pages read twice."""
+def labelled(pairs: DataFrame, sample: list) -> Any:
+    """Candidates of words of the sample, with a `label`: 1 if the word stands corrected so in a page's other reading, 0 if both readings
+    agree on it, or if the other has neither. A word that both have is counted once less, as one reading has it once more."""
     both: set[str] = set()
     moved: list[tuple[set[str], set[str]]] = []
     for r in sample:
@@ -274,62 +282,151 @@ def ranker(pairs: DataFrame, sample: list) -> Boost:
     for x, other in moved:
         for w in x:
             for i in by_word.get(w, ()):
-                if rows["c"][i] in other:
-                    label[i] = 1
-    for w in both:
-        for i in by_word.get(w, ()):
-            label.setdefault(i, 0)
+                label[i] = max(label.get(i, 0), int(rows["c"][i] in other))
+    agreed = [i for w in both for i in by_word.get(w, ())]
+    for i in agreed:
+        label.setdefault(i, 0)
+    rows["nw"] -= rows.index.isin([i for i in agreed if not label[i]]) & (rows["nw"] > 1)
     at = sorted(label)
-    x = features({k: list(rows[k].iloc[at]) for k in rows.columns}) if at else np.zeros((0, 11))
-    return Boost().fit(x, np.array([label[i] for i in at], float))
+    return rows.iloc[at].assign(label=[label[i] for i in at]).reset_index(drop=True)
 
 
-def corrections(pairs: DataFrame, model: Boost) -> DataFrame:
-    """(word, right, score): the words taken for misreadings, each with its best replacement. A misreading of letters for letters,
-    and one of or into a word of one or two characters (which leaves next to nothing of it), must recur in at least three words, and
-    one for an ideograph be more than one in 25 of its places."""
+def _ranked(pairs: DataFrame, first: Boost, second: Boost | None = None) -> DataFrame:
+    """Candidates with the ranker's `score`. The second round also knows how many words the first took for the same misreading (`k`)."""
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            p = model.predict(features(batch.to_pydict())) if batch.num_rows else np.zeros(0)
-            keep = pa.array(np.flatnonzero(p > 0.5))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("w", "c", "a", "b")), pa.array(p[p > 0.5])], names=["word", "right", "a", "b", "score"])
-
-    ranked = pairs.where("share >= 0.04").mapInArrow(score, "word string, right string, a string, b string, score double")
-    often = ranked.groupBy("a", "b").agg(F.count("*").alias("k"))
-    ranked = ranked.join(often, ["a", "b"]).where("k >= 3 or (not a rlike '^\\\\p{L}+$' and least(length(word), length(right)) >= 3)")
-    return ranked.groupBy("word").agg(F.max_by("right", F.struct("score", "right")).alias("right"), F.max("score").alias("score"))
-
-
-def join_model(known: dict[str, int], seed: int = 5, many: int = 6000) -> Boost:
-    """Trees that tell words broken at a line's end from words that end there; fitted on words of the vocabulary, broken at
-    random, on compounds broken at their own hyphen, and on neighbouring words."""
+            rows = batch.to_pydict()
+            p = first.predict(features(rows)) if batch.num_rows else np.zeros(0)
+            if second is not None and batch.num_rows:
+                p = second.predict(again(rows, p))
+            yield batch.append_column("score", pa.array(p, pa.float64()))
+
+    return pairs.mapInArrow(score, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", score double")
+
+
+def again(rows: dict[str, list], p: np.ndarray) -> np.ndarray:
+    """Features of the second round."""
+    short = np.minimum([len(x) for x in rows["w"]], [len(x) for x in rows["c"]]).astype(float)
+    letters_only = np.array([x.isalpha() for x in rows["a"]], float)
+    return np.column_stack([features(rows), p, np.log1p(np.array(rows["k"], float)), short, letters_only])
+
+
+def corrections(pairs: DataFrame, sample: list, keep: Any) -> DataFrame:
+    """(word, right, score): the words taken for misreadings, each with its best replacement. Boosted trees rank the candidates in two
+    rounds; the second knows how often the first found the same misreading, which tells a misreading from a pair of words."""
+    known = labelled(pairs, sample)
+    first = Boost().fit(features({k: list(known[k]) for k in known.columns}) if len(known) else np.zeros((0, 11)), known["label"].to_numpy(float))
+    found = keep(_ranked(pairs, first).where("score > 0.5").groupBy("a", "b").agg(F.count("*").alias("k")))
+    edits = pairs.sparkSession.createDataFrame(sorted(set(zip(known["a"], known["b"], strict=True))) or [("", "")], "a string, b string")  # of the sample
+    known = known.merge(found.join(F.broadcast(edits), ["a", "b"]).toPandas(), on=["a", "b"], how="left").fillna({"k": 0})
+    rows = {k: list(known[k]) for k in known.columns}
+    second = Boost().fit(again(rows, first.predict(features(rows))) if len(known) else np.zeros((0, 15)), known["label"].to_numpy(float))
+    ranked = _ranked(pairs.join(found, ["a", "b"], "left").fillna(0, ["k"]), first, second).where("score > 0.5")
+    return ranked.groupBy("w").agg(F.max_by("c", F.struct("score", "c")).alias("right"), F.max("score").alias("score")).withColumnRenamed("w", "word")
+
+
+def training_words(right: DataFrame, most: int = TRAIN_WORDS) -> dict[str, int]:
+    """Words with their counts for `join_model`: the most frequent, and a sample of all by their hash, about `most` of each."""
+    words = frequent(right, most)[0]
+    part = max(1, -(-right.count() // most))
+    return words | {r.word: r.n for r in right.where(F.pmod(F.xxhash64("word"), F.lit(part)) == 0).collect()}
+
+
+def join_model(words: dict[str, int], right: DataFrame | None = None, seed: int = 5, many: int = 6000) -> Boost:
+    """Trees that tell words broken at a line's end from words that end there; fitted on `words`, broken at random, on compounds
+    broken at their own hyphen, and on neighbouring words. The parts' counts are those of `right` (without it, of `words`)."""
     rng = random.Random(seed)
-    plain = sorted(w for w in known if w.isalpha() and len(w) >= 4 and not _CJK.search(w))
-    compound = sorted(w for w in known if w.count("-") == 1 and all(len(x) > 1 for x in w.split("-")))
-    rows, y = [], []
+    plain = sorted(w for w in words if w.isalpha() and len(w) >= 4 and not _CJK.search(w))
+    compound = sorted(w for w in words if w.count("-") == 1 and all(len(x) > 1 for x in w.split("-")))
+    made: list[tuple[str, str, str, int]] = []
+    y: list[int] = []
     if plain:
-        weights = [min(known[w], 200) for w in plain]
+        weights = [min(words[w], 200) for w in plain]
         for i, w in enumerate(rng.choices(plain, weights, k=many) + rng.choices(plain, k=many)):
             k = rng.randint(2, len(w) - 2)
-            rows.append(pair_features(w[:k], w[k:], rng.choice(["", "-", "-", "‐", "¬", "­"]), known, 1 if i >= many else 0))
+            made.append((w[:k], w[k:], rng.choice(["", "-", "-", "‐", "¬", "­"]), 1 if i >= many else 0))
             y.append(1)
         for a, b in zip(rng.choices(plain, weights, k=many), rng.choices(plain, weights, k=many), strict=True):
-            rows.append(pair_features(a, b, "", known, 0))
+            made.append((a, b, "", 0))
             y.append(0)
     if compound:
-        for w in rng.choices(compound, [min(known[w], 200) for w in compound], k=many // 2):
+        for w in rng.choices(compound, [min(words[w], 200) for w in compound], k=many // 2):
             a, b = w.split("-")
-            rows.append(pair_features(a, b, rng.choice("-‐"), known, 0))
+            made.append((a, b, rng.choice("-‐"), 0))
             y.append(0)
-    return Boost().fit(np.array(rows, float).reshape(-1, 8), np.array(y, float))
+    known = words
+    if right is not None:
+        asked = sorted({w for a, b, _, _ in made for w in (a + b, a, b, f"{a}-{b}")})
+        known = {r.word: r.n for r in right.join(F.broadcast(right.sparkSession.createDataFrame([(w,) for w in asked] or [("",)], "word string")), "word").collect()}
+    return Boost().fit(np.array([pair_features(a, b, m, known, less) for a, b, m, less in made], float).reshape(-1, 8), np.array(y, float))
 
 
 def pair_features(a: str, b: str, mark: str, known: dict[str, int], less: int) -> list[float]:
     lg = lambda w, k=0: float(np.log1p(max(0, known.get(w, 0) - k)))
-    return [lg(a + b, less), lg(a), lg(b), lg(f"{a}-{b}"), float(mark in ("-", "‐", "‑")), float(mark in ("¬", "­")), len(a), len(b)]
+    return [lg(a + b, less), lg(a), lg(b), lg(f"{a}-{b}"), *_marked(a, b, mark)]
+
+
+def _marked(a: str, b: str, mark: str) -> list[float]:
+    return [float(mark in ("-", "‐", "‑")), float(mark in ("¬", "­")), len(a), len(b)]
+
+
+ENDS = "page_id string, field int, line_no int, bit int, a string, b string, mark string, counts array<long>"
+
+
+class Ends:
+    """Decides whether words at line ends go on: at once, if the decision is the same for every count that words which the task doesn't
+    hold may have (fewer than `least`), else None."""
+
+    def __init__(self, known: dict[str, int], least: int, joins: Boost):
+        self.known, self.least, self.joins = known, least, joins
+        self.made: dict[tuple[str, str, str], bool | None] = {}
+
+    def counts(self, pair: tuple[str, str, str]) -> list[int]:
+        """Places of the whole word, of both parts and of the compound; -1 if it isn't known here."""
+        a, b, _ = pair
+        get = self.known.get
+        return [get(a + b, -1), get(a, -1), get(b, -1), get(f"{a}-{b}", -1)]
+
+    def decide(self, pairs: list[tuple[str, str, str]]) -> dict[tuple[str, str, str], bool | None]:
+        if len(self.made) > FLUSH:
+            self.made.clear()
+        new = [p for p in dict.fromkeys(pairs) if p not in self.made]
+        if new:
+            n = np.array([self.counts(p) for p in new], float)
+            rest = np.array([_marked(*p) for p in new], float)
+            low = np.column_stack([np.log1p(np.maximum(n, 0)), rest])
+            high = np.column_stack([np.log1p(np.where(n < 0, self.least - 1, n)), rest])
+            least, most = self.joins.bounds(low, high) if self.least > 1 else (self.joins.predict(low),) * 2
+            self.made.update({p: y > 0.5 if (x > 0.5) == (y > 0.5) else None for p, x, y in zip(new, least.tolist(), most.tolist(), strict=True)})
+        return self.made
+
+
+def decided(ends: DataFrame, right: DataFrame, joins: Boost) -> DataFrame:
+    """(page_id, field, line_no, more): bits of the line ends that tasks couldn't decide (`ends`) and whose word goes on. Their rare words
+    are looked up in the whole vocabulary `right`; each distinct pair of parts once."""
+
+    def judge(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            b = batch.to_pydict()
+            if batch.num_rows:
+                x = [[*np.log1p(n), *_marked(a, c, m)] for a, c, m, n in zip(b["a"], b["b"], b["mark"], b["counts"], strict=True)]
+                yield batch.select(["a", "b", "mark"]).filter(pa.array(joins.predict(np.array(x, float)) > 0.5))
+
+    pairs = ends.groupBy("a", "b", "mark").agg(F.first("counts").alias("counts"))
+    words = F.expr("array(concat(a, b), a, b, concat(a, '-', b))")
+    asked = pairs.select("a", "b", "mark", F.posexplode(F.arrays_zip(words.alias("word"), F.col("counts").alias("n"))).alias("i", "x")).select("a", "b", "mark", "i", F.col("x.word").alias("word"), F.col("x.n").alias("have"))
+    found = asked.where("have < 0").join(right, "word", "left").select("a", "b", "mark", "i", F.coalesce("n", F.lit(0)).alias("n"))
+    whole = asked.where("have >= 0").select("a", "b", "mark", "i", F.col("have").alias("n")).union(found)
+    one = lambda i: F.max(F.when(F.col("i") == i, F.col("n")))
+    goes = whole.groupBy("a", "b", "mark").agg(F.array(*map(one, range(4))).alias("counts")).mapInArrow(judge, "a string, b string, mark string")
+    salted = goes.select("a", "b", "mark", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    places = ends.select("page_id", "field", "line_no", "bit", "a", "b", "mark", F.pmod(F.hash("page_id"), F.lit(SALT)).alias("salt"))
+    return places.join(salted, ["a", "b", "mark", "salt"]).select("page_id", "field", "line_no", F.col("bit").alias("more"))
 
 
 def _broken(line: str, after: str) -> tuple[str, str, str] | None:
@@ -374,27 +471,27 @@ class Collapse:
         return key.translate(self.single)
 
 
-LINES = "page_id string, book_id string, field int, line_no int, key long, sign long, bits int, short float, words int, first string, last string, joined string, odd array<string>"
+LINES = "page_id string, book_id string, field int, line_no int, key long, sign long, bits int, short float, words int, first string, last string, joined string, odd array<string>, ends array<struct<bit: int, a: string, b: string, mark: string, counts: array<bigint>>>"
 #: What a line looks like, as bits.
 NUMBER, NAMED, STOP, LOWER, CAPS, STAR, DIGITS, HEAD, GOES1, GOES2 = (1 << i for i in range(10))
 _ROMAN_EDGE = re.compile(r"^[ivxlcIl\[(]{1,7}[\])]?\s|\s[ivxlcIlO\[(]{1,7}[\])]?$")
 
 
-def lines_of(pages: DataFrame, known: dict[str, int], joins: Boost, edits: list[tuple[str, str]]) -> DataFrame:
+def lines_of(pages: DataFrame, known: dict[str, int], least: int, joins: Boost, edits: list[tuple[str, str]]) -> DataFrame:
     """One row per line with a character of both fields: what it looks like, whether its last word may go on (in the next line, and
-    in the one after that), and its suspicious words."""
-    shared = pages.sparkSession.sparkContext.broadcast((known, joins, edits))  # bounded by KNOWN
+    in the one after that; undecided ones are in `ends`), and its suspicious words. `known` holds the words of `least` places and more."""
+    shared = pages.sparkSession.sparkContext.broadcast((known, least, joins, edits))  # bounded by KNOWN and FOLDED
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest as digest
 
-        known, joins, edits = shared.value
-        fold, collapse, memo = rewriter(), Collapse(edits), _Memo()
+        known, least, joins, edits = shared.value
+        fold, collapse, memo, judge = rewriter(), Collapse(edits), _Memo(), Ends(known, least, joins)
+        end = pa.struct([("bit", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("mark", pa.string()), ("counts", pa.list_(pa.int64()))])
         half = 1 << 63
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
-        names = ["field", "line_no", "key", "sign", "bits", "short", "words", "first", "last", "joined", "odd"]
-        often = {w for w, n in known.items() if n >= 20}
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(end)]
+        names = ["field", "line_no", "key", "sign", "bits", "short", "words", "first", "last", "joined", "odd", "ends"]
 
         def page_lines(raw: str, f: int, number: int | None, named: set[str], rows: list, asked: list, where: list) -> int:
             text = fold(raw)
@@ -445,19 +542,17 @@ def lines_of(pages: DataFrame, known: dict[str, int], joins: Boost, edits: list[
                         if at + slot < len(full):
                             nxt = lines[full[at + slot]]
                             if pair := _broken(ends_mark, nxt):
-                                a, b, mark = pair
-                                if not (not mark and a in often and b in often and a + b not in known):
-                                    asked.append(pair_features(a, b, mark, known, 0))
-                                    where.append((len(rows), GOES1 if slot == 1 else GOES2))
-                                    if slot == 1 and a + b not in known and f"{a}-{b}" not in known:
-                                        joined = a + b
+                                asked.append(pair)
+                                where.append((len(rows), GOES1 if slot == 1 else GOES2))
+                                if slot == 1 and pair[0] + pair[1] not in known:
+                                    joined = pair[0] + pair[1]
                             if nxt.lstrip()[:1].islower():
                                 break  # text goes on: the line after it isn't asked
                 bits = (
                     NUMBER * is_number + NAMED * (key in named) + STOP * (s[-1] in ".!?。！？,，;；:") + LOWER * s[0].islower() + CAPS * s.isupper()
                     + STAR * (s[0] in "*[" or s[-1] in "*]") + DIGITS * any(map(str.isdigit, s)) + HEAD * (s[0] == "\\")
                 )
-                rows.append([f, n, digest(key) - half if key else None, sign, bits, len(s) / widest, count, first, last, joined, bad])
+                rows.append([f, n, digest(key) - half if key else None, sign, bits, len(s) / widest, count, first, last, joined, bad, None])
             return len(full)
 
         for whole in batches:
@@ -466,7 +561,7 @@ def lines_of(pages: DataFrame, known: dict[str, int], joins: Boost, edits: list[
                 b = part.to_pydict()
                 rows: list[list] = []
                 take: list[int] = []
-                asked: list[list[float]] = []
+                asked: list[tuple[str, str, str]] = []
                 where: list[tuple[int, int]] = []
                 for i, number in enumerate(b["number"]):
                     named: set[str] = set()
@@ -482,9 +577,12 @@ def lines_of(pages: DataFrame, known: dict[str, int], joins: Boost, edits: list[
                         if b[column][i]:
                             take += [i] * page_lines(b[column][i], f, number, named, rows, asked, where)
                 if asked:
-                    for (r, bit), p in zip(where, joins.predict(np.array(asked)), strict=True):
-                        if p > 0.5:
+                    goes = judge.decide(asked)
+                    for (r, bit), pair in zip(where, asked, strict=True):
+                        if goes[pair]:
                             rows[r][4] |= bit
+                        elif goes[pair] is None:
+                            rows[r][11] = [*(rows[r][11] or []), (bit, *pair, judge.counts(pair))]
                 if rows:
                     at = pa.array(take)
                     yield pa.RecordBatch.from_arrays(
@@ -494,29 +592,34 @@ def lines_of(pages: DataFrame, known: dict[str, int], joins: Boost, edits: list[
     return pages.select("page_id", "book_id", "number", *FIELDS, "header_segments_json", "footer_segments_json").mapInArrow(run, LINES)
 
 
-def repeats(lines: DataFrame, keep: Any, least_books: int = 8, share: float = 0.03) -> DataFrame:
+def repeats(lines: DataFrame, pages: DataFrame, keep: Any, elsewhere: float = 0.03, doubt: int = 100) -> DataFrame:
     """(book, key, like): on how many different pages of a book the like of a line stands, from two on. Pages with the same longest
     line are scans of one page and count once; the counts are pre-aggregated where the lines are made.
 
-    A frame belongs to its book: a line that stands in at least `least_books` books and a `share` of all books (`Continued
-    overleaf.`) is text that many books have, so it gets no count."""
+    A frame belongs to its book. A line whose share of the pages of all other books (with `doubt` more books that lack it, for what
+    few books can tell) is at least `elsewhere` of its share in its own (`Continued overleaf.`) is text that books have: it gets no count."""
     each = lines.where("key is not null").groupBy(F.xxhash64("book_id").alias("book"), "key", "field", "sign").agg(F.lit(1).alias("one"))
     counted = keep(each.groupBy("book", "key", "field").agg(F.count("*").alias("like")).groupBy("book", "key").agg(F.max("like").alias("like")))
-    books = counted.select("book").distinct().count()
-    everywhere = counted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= max(least_books, share * books)).select("key")
-    return counted.where("like > 1").join(everywhere, "key", "left_anti").select("book", "key", "like")
-
-
-def with_repeats(lines: DataFrame, counted: DataFrame) -> DataFrame:
-    """Lines with `like` (1 for lines that stand alone). Only the hashes of lines go through the salted join, as one line of one book
-    may be a large part of all lines; what it finds is then laid beside the lines of each page."""
+    sizes = pages.groupBy(F.xxhash64("book_id").alias("book")).agg(F.count("*").alias("pages"))
+    books = sizes.count()
+    # a book may hold a large part of all lines
+    salted = sizes.select("book", "pages", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    shares = counted.withColumn("salt", F.pmod("key", F.lit(SALT)).cast("int")).join(salted, ["book", "salt"]).select("book", "key", "like", (F.col("like") / F.col("pages")).alias("share"))
+    total = shares.groupBy("key").agg(F.sum("share").alias("all"), F.count("*").alias("n")).where("n > 1").select("key", "all")
+    met = shares.where("like > 1").join(total, "key", "left").where(f"coalesce(`all` - share, 0) < {elsewhere} * share * {books + doubt}")
+    return met.select("book", "key", "like")
+
+
+def with_repeats(lines: DataFrame, counted: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Lines with `like` (1 for lines that stand alone) and with the bits of `more`. Only the hashes of lines go through the salted join,
+    as one line of one book may be a large part of all lines; what it finds is then laid beside the lines of each page."""
     # the merge hint: sixteen copies of the counts are more than their size lets the planner expect, so it mustn't broadcast them
     salted = counted.select("book", "key", "like", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     narrow = lines.where("key is not null").select(F.xxhash64("book_id").alias("book"), "key", "page_id", "field", "line_no", F.pmod(F.hash("page_id"), F.lit(SALT)).alias("salt"))
     alike = narrow.join(salted.hint("merge"), ["book", "key", "salt"]).select("page_id", "field", "line_no", "like")
-    slim = lines.drop("book_id", "key", "sign")
-    empty = [F.lit(None).cast(slim.schema[c].dataType).alias(c) for c in slim.columns if c not in ("page_id", "field", "line_no")]
-    return slim.withColumn("like", F.lit(None).cast("long")).unionByName(alike.select("page_id", "field", "line_no", *empty, "like"))
+    slim = lines.drop("book_id", "key", "sign", "ends")
+    laid = slim.withColumn("like", F.lit(None).cast("long")).withColumn("more", F.lit(None).cast("int")).unionByName(alike, allowMissingColumns=True)
+    return laid if more is None else laid.unionByName(more, allowMissingColumns=True)
 
 
 def paired(table: Any) -> Any:
@@ -530,12 +633,15 @@ def paired(table: Any) -> Any:
     like = np.ones(int(new.sum()), np.int64)
     found = table.column("like").fill_null(0).to_numpy()
     np.maximum.at(like, group, found)
+    more = np.zeros(len(like), np.int32)
+    np.bitwise_or.at(more, group, table.column("more").fill_null(0).to_numpy())
     bits = table.column("bits")
     own = np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False))
     first = np.full(len(like), -1)
     first[group[own][::-1]] = own[::-1]
     keep = first >= 0
     out = table.take(pa.array(first[keep]))
+    out = out.set_column(out.schema.get_field_index("bits"), "bits", pa.array(out.column("bits").to_numpy() | more[keep]))
     return out.set_column(out.schema.get_field_index("like"), "like", pa.array(like[keep]))
 
 
@@ -648,13 +754,13 @@ def framed(lines: DataFrame, model: Boost, least: int = 3) -> DataFrame:
     return lines.repartition("page_id", "field").sortWithinPartitions("page_id", "field", "line_no").mapInArrow(run, "page_id string, field string, line_no int, kind string, word string")
 
 
-def noise(pages: DataFrame, keep: Any = None) -> DataFrame:
+def noise(pages: DataFrame, keep: Any = None, most: int = KNOWN) -> DataFrame:
     """(page_id, field, line_no, kind): running, page_number, hyphen and misread lines of every page.
 
     Null and empty texts have no rows; a page that arrived twice counts once; a page without a book has no repeated lines.
-    `keep` cuts the lineage of a table that is used several times (a written table or a checkpoint).
+    `keep` cuts the lineage of a table that is used several times (a written table or a checkpoint). `most` words are held by a task.
     """
-    frames, words = findings(pages, keep)
+    frames, words = findings(pages, keep, most)
     misread = words.select("page_id", "field", "line_no", F.lit("misread").alias("kind")).distinct()
     return frames.union(misread)
 
@@ -741,20 +847,40 @@ def _swap(text: str, word: str, right: str) -> str:
     return text[: m.start()] + (right.upper() if old.isupper() and len(old) > 1 else right.capitalize() if old[0].isupper() else right) + text[m.end() :]
 
 
-def findings(pages: DataFrame, keep: Any = None) -> tuple[DataFrame, DataFrame]:
-    """(page_id, field, line_no, kind) of frame lines and broken words, and (page_id, field, line_no, word, right) of misread words."""
+def frequent(right: DataFrame, most: int) -> tuple[dict[str, int], int]:
+    """The words of at least T places, and T: the least count that no more than `most` words have (or exceed). Counts are binned, so that
+    a few hundred rows reach the driver to choose T; a T of 1 means all words."""
+    bins = right.groupBy(F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 16).cast("int").alias("bin")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    least, total = 1 << 62, 0
+    for r in sorted(bins.collect(), key=lambda r: -r.bin):
+        total += r.words
+        if total > most:
+            break
+        least = r.least
+    else:
+        least = 1
+    return {r.word: r.n for r in right.where(F.col("n") >= least).collect()}, least
+
+
+def findings(pages: DataFrame, keep: Any = None, most: int = KNOWN) -> tuple[DataFrame, DataFrame]:
+    """(page_id, field, line_no, kind) of frame lines and broken words, and (page_id, field, line_no, word, right) of misread words.
+    `most`: words that a task holds; the result doesn't depend on it."""
     keep = keep or (lambda df: df)
     vocab = keep(vocabulary(pages))
     pairs = keep(scored_pairs(keep(candidates(vocab)), vocab))
     sample = twice_read(pages)
-    fixes = keep(corrections(pairs, ranker(pairs, sample)))
-    common = vocab.join(fixes, "word", "left_anti").where("n >= 3").orderBy(F.desc("n"), "word").limit(KNOWN)
-    known = {r.word: r.n for r in common.collect()}
-    edits = pairs.join(fixes.select(F.col("word").alias("w"), F.col("right").alias("c")), ["w", "c"]).groupBy("a", "b").agg(F.count("*").alias("k")).where("k >= 3").orderBy(F.desc("k")).limit(500)
-    lines = keep(lines_of(pages, known, join_model(known), [(r.a, r.b) for r in edits.collect()]))
-    counted = keep(repeats(lines, keep))
-    some = with_repeats(lines.where(F.col("page_id").isin([r.page_id for r in sample[:1000]])), counted)
+    fixes = keep(corrections(pairs, sample, keep))
+    right = keep(vocab.join(fixes, "word", "left_anti"))
+    known, least = frequent(right, most)
+    joins = join_model(training_words(right), right)
+    kinds = pairs.join(fixes.select(F.col("word").alias("w"), F.col("right").alias("c")), ["w", "c"]).groupBy("a", "b").agg(F.count("*").alias("k"))
+    enough = FOLDED * (fixes.count() or 1)
+    edits = sorted((r.a, r.b) for r in kinds.where(F.col("k") >= max(3.0, enough)).collect())  # 1 / FOLDED rows at most
+    lines = keep(lines_of(pages, known, least, joins, edits))
+    ends = lines.where("ends is not null").select("page_id", "field", "line_no", F.expr("inline(ends)"))
+    counted = keep(repeats(lines, pages, keep))
+    some = with_repeats(lines.where(F.col("page_id").isin([r.page_id for r in sample[:FRAME_SAMPLE]])), counted)
     some = paired(some.drop("odd", "first", "last", "joined").orderBy("page_id", "field", "line_no").toArrow())
-    found = keep(framed(with_repeats(lines, counted), frame_model(some)))
+    found = keep(framed(with_repeats(lines, counted, decided(ends, right, joins)), frame_model(some)))
     words = found.where("kind = 'word'").join(fixes.select("word", "right"), "word").select("page_id", "field", "line_no", "word", "right")
     return found.where("kind <> 'word'").select("page_id", "field", "line_no", "kind"), words

@@ -94,14 +94,41 @@ def test_short_words_are_candidates(spark):
     assert S.words_of("a 1 l@ 0f — I") == ["a", "", "l@", "0f", "", "i"]
 
 
-def test_short_corrections_must_recur(spark):
-    class Sure:
-        def predict(self, x):
-            return np.ones(len(x))
-
-    rows = [("l@", "la", "@", "a"), ("qu@rry", "quarry", "@", "a"), ("m@p", "map", "@", "a"), ("m2", "mit", "2", "it"), ("qu4rry", "quarry", "4", "a")]
-    pairs = spark.createDataFrame([(*r, 1, 100, 3, 3, 1.0) for r in rows], "w string, c string, a string, b string, nw long, nc long, kinds long, mass long, share double")
-    assert {r.word for r in S.corrections(pairs, Sure()).collect()} == {"l@", "qu@rry", "m@p", "qu4rry"}
+def test_labels_of_candidates(spark):
+    class Page:
+        def __init__(self, text, extraction_text):
+            self.text, self.extraction_text = text, extraction_text
+
+    rows = [("qu@rry", "quarry", "@", "a", 1), ("m@p", "map", "@", "a", 2), ("house", "mouse", "h", "m", 9), ("wa11", "wall", "11", "ll", 1)]
+    pairs = spark.createDataFrame([(*r, 100, 3, 3, 1.0) for r in rows], "w string, c string, a string, b string, nw long, nc long, kinds long, mass long, share double")
+    got = S.labelled(pairs, [Page("x the qu@rry house m@p y", "x the quarry house stop y")])
+    # corrected; agreed, and counted once less; corrected to something else; not in the sample
+    assert {(r.w, r.label, r.nw) for r in got.itertuples()} == {("qu@rry", 1, 1), ("house", 0, 8), ("m@p", 0, 2)}
+
+
+def test_result_does_not_depend_on_the_words_a_task_holds(spark, book):
+    df = spark.createDataFrame(book[0], SCHEMA).repartition(4)
+    every, few = ({tuple(r) for r in S.noise(df, lambda x: x.cache(), most).collect()} for most in (S.KNOWN, 40))
+    assert every == few
+
+
+def test_threshold_of_frequent_words(spark):
+    right = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([1, 1, 1, 2, 2, 3, 500, 800])], "word string, n long")
+    assert S.frequent(right, 8) == ({f"w{i}": n for i, n in enumerate([1, 1, 1, 2, 2, 3, 500, 800])}, 1)
+    assert S.frequent(right, 5) == ({"w3": 2, "w4": 2, "w5": 3, "w6": 500, "w7": 800}, 2)
+    assert S.frequent(right, 4) == ({"w5": 3, "w6": 500, "w7": 800}, 3)
+
+
+def test_bounds_hold_every_prediction():
+    rng = np.random.default_rng(1)
+    x = rng.random((2000, 3))
+    model = Boost().fit(x, (x[:, 0] + x[:, 1] > 1).astype(float))
+    low = x[:200].copy()
+    high = low + rng.random((200, 3)) * 0.3
+    least, most = model.bounds(low, high)
+    for t in (0, 0.3, 0.7, 1):
+        p = model.predict(low + t * (high - low))
+        assert (least <= p + 1e-12).all() and (p <= most + 1e-12).all()
 
 
 def test_boosted_trees_learn_an_interaction():
