@@ -15,9 +15,10 @@ class Boost:
         self.made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boost:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boost:
         n, width = x.shape
-        share = min(max(float(y.mean()) if n else 0.0, 1e-3), 1 - 1e-3)
+        weight = np.ones(n) if weight is None else weight * (n / weight.sum() if n else 1)
+        share = min(max(float((y * weight).mean()) if n else 0.0, 1e-3), 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         if n == 0 or y.min() == y.max():
             return self
@@ -26,7 +27,7 @@ class Boost:
         score = np.full(n, self.base)
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p)
+            g, h = (y - p) * weight, p * (1 - p) * weight
             feature, cut = np.zeros(2**DEPTH - 1, int), np.full(2**DEPTH - 1, np.inf)
             node = np.zeros(n, int)
             for level in range(DEPTH):

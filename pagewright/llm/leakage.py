@@ -1,25 +1,27 @@
 """Held-out test items inside training documents.
 
 Items and documents are reduced to streams of letters and digits (look-alikes folded, case, spacing, line breaks, hyphens and
-punctuation dropped), so words broken over lines join by themselves. Two kinds of windows of an item are looked up in every
-document by hash:
+punctuation dropped), so words broken over lines join by themselves. A stream is made canonical by a template, in which a whole number
+and a unit after it are typed placeholders (`counted`); for re-parameterised copies (`changed`) also by one in which names are
+placeholders too (`Slotted`). Windows of the items' templates are rows, and so are the windows of documents; they meet in a hash join
+that keeps the places of both. Then the slots and words around each meeting are compared in the texts themselves.
 
-* template windows (for re-parameterised copies, `changed`): whole numbers, units and names are replaced by typed placeholders first;
-  the place of a window in both templates is kept, and the stretch that both have in common is followed from it. A window is no
-  wider than the shortest half of its item, so a copy whose template is unbroken always holds one;
-* literal windows, at every word start, as wide as every run of words that a sufficient passage must hold without a replaced
-  word (see `clean_run`). Whatever passage counts, one of these windows lies in it: the look-up loses nothing.
+* Windows begin at every word and are as wide as every run of words that a sufficient passage must hold without a replaced word (see
+  `clean_run`), as far as its template doesn't depend on what stands around it. Whatever passage counts, one of these windows lies in
+  it: the join loses nothing. An item with a run of nothing but numbers has windows of its stream instead.
+* With `changed` there are also windows at every place of the template with names, no wider than the shortest half of an item.
 
-A hit is then extended word by word in both directions, and the words (and slots) that differ are counted.
+A meeting is extended word by word in both directions, and the words (and slots) that differ are counted.
 
-The hash table of item windows goes to every task. Its size is bounded: items are taken in blocks of at most `BLOCK_CHARS`
-characters, each block one pass over the documents; an ordinary evaluation suite is one block. Documents are never shuffled.
+Documents are not expanded to a row per character: a table of bits, of at most `MOST_BITS`, tells which windows can't be an item's. A
+suite too large for it lets more windows pass to the join, and the result is the same. Items and windows are never collected.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +30,13 @@ from pyspark.sql import DataFrame
 
 from pagewright.llm.lookalike import rewriter
 
-BLOCK_CHARS = 20_000_000
-WIDTHS = (24, 16, 12, 8, 6, 5, 4, 3, 2, 1)
+WIDTHS = (24, 16, 12, 8, 5, 3, 2, 1)
+#: Kinds of windows: of the template without names, of the stream, of the template with names.
+PLAIN, LITERAL, NAMED = 0, 1, 2
+#: Size of the table of bits, in powers of two: from the first to the second.
+LEAST_BITS, MOST_BITS = 16, 24
+#: Characters hashed at once.
+CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -66,16 +73,41 @@ def stream(text: str) -> str:
     return rewriter()(text).translate(_kept())
 
 
+_LIKE_UNITS = sorted({u.casefold() for u in UNITS.split()}, key=len, reverse=True)
+_LONGEST_UNIT = len(_LIKE_UNITS[0])
+_COUNTED = re.compile(r"(\d+)(" + "|".join(_LIKE_UNITS) + ")?")
+
+
+def counted(text: str) -> str:
+    """The template of a stream: 2 for a whole number, 3 for a unit after it. It depends on nothing but the stream."""
+    return _COUNTED.sub(lambda m: "\x02\x03" if m.group(2) else "\x02", text) if any(map(str.isdigit, text)) else text
+
+
+def places(text: str) -> np.ndarray:
+    """Of each character of a stream's template, and of its end, the place in the stream."""
+    out: list[int] = []
+    at = 0
+    for m in _COUNTED.finditer(text):
+        out += range(at, m.start())
+        out.append(m.start())
+        if m.group(2):
+            out.append(m.start(2))
+        at = m.end()
+    return np.array([*out, *range(at, len(text) + 1)])
+
+
 class Slotted:
     """The stream with one typed placeholder for a whole name (1), number (2) or unit (3): `stream`; what stands in each by its place:
-    `slots`; and the words: (place, end, count) of literal words and slots. Of Chinese every character is a word."""
+    `slots`; the words: (place, end, count) of literal words and slots; and the places in the plain stream of all parts: `parts`. Of
+    Chinese every character is a word."""
 
     def __init__(self, text: str, cjk: bool = False):
         text = " ".join(rewriter()(text).split())
         parts: list[str] = []
         self.slots: dict[int, str] = {}
         self.words: list[tuple[int, int, int]] = []
-        self.size = at = 0
+        self.parts: list[tuple[int, int]] = []
+        self.size = self.plain = at = 0
 
         def literal(piece: str) -> None:
             glued = bool(parts) and not piece[:1].isspace()
@@ -86,7 +118,9 @@ class Slotted:
                 elif w:
                     self.words.append((self.size, self.size + len(w), 0 if glued and n == 0 else 1))
                 parts.append(w)
+                self.parts.append((self.size, self.plain))
                 self.size += len(w)
+                self.plain += len(w)
 
         for m in _SLOT.finditer(text):
             literal(text[at : m.start()])
@@ -95,11 +129,18 @@ class Slotted:
                     self.slots[self.size] = stream(said)
                     self.words.append((self.size, self.size + 1, len(stream(said)) if cjk else len(said.split())))
                     parts.append(mark)
+                    self.parts.append((self.size, self.plain))
                     self.size += 1
+                    self.plain += len(self.slots[self.size - 1])
             at = m.end()
         literal(text[at:])
         self.stream = "".join(parts)
 
+    def place(self, at: int) -> int:
+        """The place in the plain stream of a place in the template."""
+        there, plain = self.parts[bisect_right(self.parts, (at, 1 << 60)) - 1]
+        return plain + at - there
+
 
 def template(text: str) -> str:
     """The stream with typed placeholders for names (1), numbers (2) and units (3)."""
@@ -157,89 +198,213 @@ def clean_run(n: int) -> int:
     return min(-(-(k - k // 10) // (k // 10 + 1)) for k in range(max(1, sufficient(n)), n + 1))
 
 
-def hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every window of `width` values: differences of prefix sums of a polynomial modulo 2^64, brought to one power."""
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes) - 1, _BASE)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(codes.astype(np.uint64) * powers)])
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]))
-        h = (sums[width:] - sums[:n]) * back
-        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b)])) for b in (_BASE, _INVERSE))
+
+
+def hashes(codes: np.ndarray, kind: int, widths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hashes of every window of so many values): differences of prefix sums of a polynomial modulo 2^64, brought to one power."""
+    powers, back = _powers(1 << max(12, (len(codes) + 1).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes * powers[: len(codes)], out=sums[1:])
+        for width in widths:
+            n = len(codes) - width + 1
+            if n > 0:
+                h = (sums[width:] - sums[:n]) * back[:n]
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * (97 * kind + width))
+                yield width, h
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+
+
+def _runs(words: list[str]) -> tuple[str, list[int]]:
+    """An item's stream and the places where its words begin, with its end."""
+    starts = [0]
+    for w in words:
+        starts.append(starts[-1] + len(w))
+    return "".join(words), starts
+
+
+def plain_windows(words: list[str]) -> tuple[int, int, str, list[tuple[int, int, int]]] | None:
+    """(kind, width, template, [(place, word, offset)]): the windows of an item, each with the word that leads to its place in the
+    document and that word's offset in the window."""
+    text, starts = _runs(words)
+    run = clean_run(len(words))
+    form = counted(text)
+    there = {int(p): t for t, p in enumerate(places(text))}  # place in the stream -> place in the template
+    first = [there.get(p) for p in starts[:-1]]
+    width = 1 << 30
+    for i in range(len(words) - run + 1):
+        begin = next((first[k] for k in range(i, i + run) if first[k] is not None and not (k == i and form[first[k]] == "\x03")), None)
+        end = _settled(text, starts[i + run])
+        width = min(width, 0 if begin is None else end - begin)
+        if width <= 0:
+            break
+    if width > 0:
+        width = next(w for w in WIDTHS if w <= width)
+        out = []
+        for i, at in enumerate(first):
+            if at is None or at + width > len(form):
+                continue
+            # a number in the document may be a longer one, so the word after it leads to the place
+            word = next((k for k in range(i, len(words)) if first[k] is not None and first[k] < at + width and form[first[k]] != "\x02"), i)
+            out.append((at, word, first[word] - at))
+        return PLAIN, width, form, out
+    width = next(w for w in WIDTHS if w <= min(starts[i + run] - starts[i] for i in range(len(words) - run + 1)))
+    return LITERAL, width, text, [(at, i, 0) for i, at in enumerate(starts[:-1]) if at + width <= len(text)]
+
+
+def _settled(text: str, end: int) -> int:
+    """How many characters of a stream's template are the same whatever follows `end`: a unit may begin or go on there."""
+    last = None
+    for last in _COUNTED.finditer(text[:end]):
+        pass
+    size = len(counted(text[:end]))
+    if last is not None and end - last.end(1) < _LONGEST_UNIT:
+        size -= len(counted(text[last.end(1) : end])) if last.group(2) is None else len(text[last.end(2) : end]) + 1
+    return size
+
+
+def named_windows(item: Slotted, words: list[str]) -> tuple[int, int, str, list[tuple[int, int, int]]] | None:
+    """As `plain_windows`, at every place of the template with names; a word of -1 leads nowhere."""
+    least, shortest = max(1, sufficient(len(words))), len(item.stream)
+    for i in range(len(item.words)):
+        count = 0
+        for _, end, k in item.words[i:]:
+            count += k
+            if count >= least:
+                shortest = min(shortest, end - item.words[i][0])
+                break
+    if not shortest:
+        return None
+    width = next(w for w in WIDTHS if w <= shortest)
+    begins = {p: i for i, p in enumerate(_runs(words)[1][:-1])}
+    leads = [(at, begins[p]) for at, _, _ in item.words if (p := item.place(at)) in begins]
+    out = []
+    for at in range(len(item.stream) - width + 1):
+        k = bisect_right(leads, (at - 1, 1 << 60))
+        near = k < len(leads) and leads[k][0] < at + width
+        out.append((at, leads[k][1] if near else -1, leads[k][0] - at if near else 0))
+    return NAMED, width, item.stream, out
 
 
-class Index:
-    """Windows of a block of items: per width the sorted hashes with their (item, word) or (item, place in its template)."""
+def windows(items: DataFrame, changed: bool) -> DataFrame:
+    """(key, item_id, kind, width, at, word, lead) of the windows of every item (item_id, item)."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.words = [words_of(t) for _, t in items]
-        self.slots = [slots_of(t) for _, t in items]
-        self.plain: dict[int, Slotted] = {}
-        found: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
-        for n, words in enumerate(self.words):
-            if not words:
-                continue
-            run = clean_run(len(words))
-            length = [len(w) for w in words]
-            shortest = min(sum(length[i : i + run]) for i in range(len(words) - run + 1))
-            width = next(w for w in WIDTHS if w <= shortest)
-            text, at = "".join(words), 0
-            h = hashes(_codes(text), width)
-            for i, w in enumerate(words):
-                if at < len(h):
-                    found.setdefault(("literal", width), []).append((int(h[at]), n, i))
-                at += len(w)
-            self.plain[n] = plain = Slotted(items[n][1], all(len(w) == 1 for w in words))
-            # as wide as the shortest half of the item, so that every copy holds a window
-            least, shortest = max(1, sufficient(len(words))), len(plain.stream)
-            for i in range(len(plain.words)):
-                count = 0
-                for _, end, k in plain.words[i:]:
-                    count += k
-                    if count >= least:
-                        shortest = min(shortest, end - plain.words[i][0])
-                        break
-            if shortest:
-                width = next(w for w in WIDTHS if w <= shortest)
-                for at, h in enumerate(hashes(_codes(plain.stream), width)):
-                    found.setdefault(("template", width), []).append((int(h), n, at))
-        self.tables = {}
-        for key, rows in found.items():
-            rows.sort()
-            h = np.array([r[0] for r in rows], np.uint64)
-            near = np.zeros(1 << 20, bool)
-            near[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[key] = (h, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), near)
-
-    def hits(self, kind: str, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        """(text, place in its stream, item, word) of every window found in a batch of streams."""
-        codes = _codes("\x00".join(texts))
-        start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        for (what, width), (known, item, word, near) in self.tables.items():
-            if what != kind:
-                continue
-            h = hashes(codes, width)
-            at = np.flatnonzero(near[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            lo = np.searchsorted(known, h[at], "left")
-            hi = np.searchsorted(known, h[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                text = int(np.searchsorted(start, p, "right")) - 1
-                for k in range(a, b):
-                    yield text, p - int(start[text]), int(item[k]), int(word[k])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for ident, text in zip(batch.column("item_id").to_pylist(), batch.column("item").to_pylist(), strict=True):
+                words = words_of(text)
+                if not words:
+                    continue
+                for made in (plain_windows(words), named_windows(Slotted(text, all(len(w) == 1 for w in words)), words) if changed else None):
+                    if made is None or not made[3]:
+                        continue
+                    kind, width, form, rows = made
+                    at, word, lead = (np.array(x) for x in zip(*rows, strict=True))
+                    _, h = next(hashes(_codes(form), kind, [width]))
+                    same = [np.full(len(at), x) for x in (ident, kind, width)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[at].view(np.int64)), pa.array(same[0], pa.int64()), pa.array(same[1], pa.int32()), pa.array(same[2], pa.int32()), *(pa.array(x, pa.int32()) for x in (at, word, lead))],
+                        names=["key", "item_id", "kind", "width", "at", "word", "lead"],
+                    )
+
+    return items.mapInArrow(run, "key long, item_id long, kind int, width int, at int, word int, lead int")
+
+
+class Sieve:
+    """Tells which hashes can't be an item's: two places in a table of bits, which must both be set."""
+
+    def __init__(self, bits: int, slots: np.ndarray, masks: np.ndarray):
+        self.bits = bits
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        table[slots] = masks.view(np.uint64)
+        self.table = np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little"))
+        self._open: np.ndarray | None = None
+
+    def __getstate__(self) -> tuple:
+        return self.bits, self.table
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.table = state
+        self._open = None
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Places in `h` of the hashes that pass."""
+        if self._open is None:
+            self._open = np.unpackbits(self.table).astype(bool)
+        at = np.flatnonzero(self._open[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
+        return at[self._open[(h[at] & np.uint64((1 << self.bits) - 1)).astype(np.int64)]]
+
+
+def sieve(known: DataFrame, total: int) -> Sieve:
+    """The table of bits of all item windows; its words, at most 2 ^ (MOST_BITS - 6) of them, reach the driver."""
+    bits = min(max((64 * total).bit_length(), LEAST_BITS), MOST_BITS)
+    place = F.explode(F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))).alias("p")
+    rows = known.select(place).select(F.shiftright("p", 6).alias("slot"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    return Sieve(bits, rows.column("slot").to_numpy(), rows.column("mask").to_numpy())
+
+
+def _chunks(forms: list[str], overlap: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
+    """Forms put together for hashing, with (begin, text, place of the begin in its form); long ones in parts that overlap."""
+    held: list[str] = []
+    where: list[tuple[int, int, int]] = []
+    size = 0
+    for n, form in enumerate(forms):
+        for lo in range(0, max(1, len(form) - overlap), CHUNK):
+            part = form[lo : lo + CHUNK + overlap]
+            where.append((size, n, lo))
+            held.append(part)
+            size += len(part) + 1
+            if size >= CHUNK:
+                yield "\x00".join(held), where
+                held, where, size = [], [], 0
+    if held:
+        yield "\x00".join(held), where
+
+
+def met_windows(documents: DataFrame, passes: Sieve, kinds: dict[int, list[int]]) -> DataFrame:
+    """(ident, sign, key, place) of the windows of documents (ident, text, sign) that pass the sieve."""
+    shared = documents.sparkSession.sparkContext.broadcast(passes)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        passes = shared.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                texts = batch.column("text").to_pylist()
+                streams = [stream(x) for x in texts] if kinds.keys() & {PLAIN, LITERAL} else []
+                for kind, widths in kinds.items():
+                    forms = [counted(x) for x in streams] if kind == PLAIN else streams if kind == LITERAL else [Slotted(x).stream for x in texts]
+                    for text, where in _chunks(forms, max(widths) - 1):
+                        starts, number, lo = (np.array(x) for x in zip(*where, strict=True))
+                        for _, h in hashes(_codes(text), kind, widths):
+                            at = passes(h)
+                            if len(at):
+                                part = np.searchsorted(starts, at, "right") - 1
+                                take = pa.array(number[part])
+                                yield pa.RecordBatch.from_arrays(
+                                    [batch.column("ident").take(take), batch.column("sign").take(take), pa.array(h[at].view(np.int64)), pa.array(at - starts[part] + lo[part], pa.int32())], names=["ident", "sign", "key", "place"]
+                                )
+
+    return documents.mapInArrow(run, f"ident {documents.schema['ident'].dataType.simpleString()}, sign long, key long, place int")
 
 
 class Document:
     """A document's stream and the places in it where words begin."""
 
     def __init__(self, text: str):
-        pieces = [stream(w) for w in rewriter()(text).split()]
+        pieces = [w.translate(_kept()) for w in rewriter()(text).split()]
         self.stream = "".join(pieces)
         cjk = bool(_CJK.search(self.stream))
         starts, at = [], 0
@@ -346,106 +511,99 @@ def reparameterised(words: list[str], slots: set[int], first: int, flags: list[b
     return False
 
 
-def leaked(documents: DataFrame, items: list[tuple[int, str]], ident: str = "doc_id", text: str = "text", changed: bool = False) -> DataFrame:
-    """(doc_id, item_id) of documents with a sufficient passage of an item; each pair once for a row of `documents`. With `changed`,
+def leaked(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", changed: bool = False) -> DataFrame:
+    """(doc_id, item_id) of documents with a sufficient passage of an item (`items`: item_id, text); each pair once. With `changed`,
     instead of those, documents in which half of an item stands with its numbers, names and units consistently changed.
 
-    Null and empty texts and items without a letter give no rows. Whole documents are searched.
+    Null and empty texts, items without an id and items without a letter or digit give no rows; repeated rows of either table count
+    once, and rows of one id with different texts are searched apart. Whole documents are searched.
     """
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for i, t in items:
-        if t and size + len(t) > BLOCK_CHARS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        if t:
-            blocks[-1].append((i, t))
-            size += len(t)
-    kind = documents.schema[ident].dataType.simpleString()
-    narrow = documents.selectExpr(f"`{ident}` as ident", f"`{text}` as text").where("text <> ''")
-    out = None
-    for block in blocks:
-        made = _search(narrow, block, kind, changed)
-        out = made if out is None else out.union(made)
-    return out.withColumnRenamed("ident", ident)
-
-
-@lru_cache(maxsize=2)
-def _index(items: tuple[tuple[int, str], ...]) -> Index:
-    return Index(list(items))
-
-
-def _search(documents: DataFrame, items: list[tuple[int, str]], kind: str, changed: bool) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(tuple(items))
+    narrow = documents.selectExpr(f"`{ident}` as ident", f"`{text}` as text", f"xxhash64(`{text}`) as sign").where("text <> ''")
+    asked = items.selectExpr("cast(item_id as bigint) as item_id", "text as item").where("item_id is not null and item <> ''").distinct()
+    known = windows(asked, changed)
+    groups = known.groupBy("kind", "width").agg(F.count("*").alias("n")).collect()  # a row for each kind and width
+    kinds: dict[int, list[int]] = {}
+    for r in sorted(groups):
+        kinds.setdefault(r.kind, []).append(r.width)
+    if not kinds:
+        return narrow.where("false").select(F.col("ident").alias(ident), F.lit(0).cast("long").alias("item_id"))
+    met = met_windows(narrow, sieve(known, sum(r.n for r in groups)), kinds).join(known, "key")
+    seeds = met.groupBy("ident", "sign", "item_id").agg(F.collect_list(F.struct("kind", "at", "word", "lead", "place")).alias("seeds"))  # no more than a document has places
+    found = seeds.join(asked, "item_id").groupBy("ident", "sign").agg(F.collect_list(F.struct("item_id", "item", "seeds")).alias("found")).select(F.col("ident").alias("i"), F.col("sign").alias("s"), "found")
+    whole = narrow.join(found, narrow["ident"].eqNullSafe(found["i"]) & (narrow["sign"] == found["s"])).select("ident", "text", "found")
+    return _compared(whole, changed).distinct().withColumnRenamed("ident", ident)
+
+
+def _compared(whole: DataFrame, changed: bool) -> DataFrame:
+    """(ident, item_id) of the pairs of documents (ident, text) and items that met (found) in which a sufficient passage stands."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        # without `changed` literal windows decide alone: none of them is missing in a passage that counts
-        index = _index(shared.value)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                texts = batch.column("text").to_pylist()
-                found: dict[int, dict[int, list[tuple[int, int]]]] = {}
-                for t, place, item, word in index.hits("literal", [stream(x) for x in texts]):
-                    found.setdefault(t, {}).setdefault(item, []).append((word, place))
-                plain = [Slotted(x) for x in texts] if changed else []
-                alike: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for t, place, item, at in index.hits("template", [x.stream for x in plain]) if changed else ():
-                    found.setdefault(t, {}).setdefault(item, [])
-                    alike.setdefault((t, item), []).append((place, at))
-                rows, who = [], []
-                for t, by_item in found.items():
-                    doc = Document(texts[t])
-                    for item, seeds in by_item.items():
-                        words = index.words[item]
-                        done: set[int] = set()  # words whose place a tried alignment already holds
-                        new = False
-                        whole_item = False
-                        upto: dict[int, int] = {}  # of each alignment, up to where it has been followed
-                        for place, at in alike.get((t, item), ()):
-                            if at < upto.get(place - at, 0):
-                                continue
-                            a, b = same_template(plain[t], index.plain[item], place, at)
-                            upto[place - at] = b
-                            leak, other = changed_slots(plain[t], index.plain[item], place - at, a, b, len(words))
-                            whole_item, new = whole_item or leak, new or other
-                        if whole_item:
-                            continue
-                        for word, place in seeds + (template_seeds(doc, words) if changed else []):
-                            if (key := place * 4096 + word) in done:
-                                continue
-                            most = len(words) if changed else None
-                            right, after = follow(doc, words, word, place, 1, most)
-                            left, before = follow(doc, words, word - 1, place, -1, most)
-                            o = place
-                            for n, f in enumerate(right):
-                                if not f:
-                                    break
-                                done.add(o * 4096 + word + n)
-                                o += len(words[word + n])
-                            done.add(key)
-                            flags = [*left[::-1], *right]
-                            if enough(flags, len(words)):
-                                new = not changed
-                                break
-                            new = new or (changed and reparameterised(words, index.slots[item], word - len(left), flags, [*before[::-1], *after]))
-                        if new:
-                            rows.append(t)
-                            who.append(index.ids[item])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([batch.column("ident").take(pa.array(rows)), pa.array(who, pa.int64())], names=["ident", "item_id"])
-
-    return documents.mapInArrow(run, f"ident {kind}, item_id long")
-
-
-def template_seeds(doc: Document, words: list[str]) -> list[tuple[int, int]]:
-    """Places of the item's longest words in a document that its template led to: further alignments, word by word, for copies
-    whose names are broken over lines or written in capitals."""
-    out = []
-    for i in sorted(range(len(words)), key=lambda i: -len(words[i]))[:3]:
-        at = doc.stream.find(words[i])
-        if at >= 0:
-            out.append((i, at))
-    return out
+        for batch in batches:
+            rows, who = [], []
+            for n, (text, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)):
+                doc = Compared(text, changed)
+                for x in found:
+                    if doc.holds(x["item"], x["seeds"]):
+                        rows.append(n)
+                        who.append(x["item_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("ident").take(pa.array(rows, pa.int64())), pa.array(who, pa.int64())], names=["ident", "item_id"])
+
+    return whole.mapInArrow(run, f"ident {whole.schema['ident'].dataType.simpleString()}, item_id long")
+
+
+@lru_cache(maxsize=10_000)
+def _item(text: str) -> tuple[list[str], set[int], Slotted]:
+    words = words_of(text)
+    return words, slots_of(text), Slotted(text, all(len(w) == 1 for w in words))
+
+
+class Compared:
+    """A document that windows of items led to."""
+
+    def __init__(self, text: str, changed: bool):
+        self.doc, self.changed = Document(text), changed
+        self.named = Slotted(text) if changed else None
+        self.places = places(self.doc.stream)
+
+    def holds(self, item: str, seeds: list[dict]) -> bool:
+        """Whether a sufficient passage of an item stands around one of the meetings of windows; with `changed`, whether none does but
+        one with changed slots."""
+        words, slots, plain = _item(item)
+        other = False
+        upto: dict[int, int] = {}  # of each alignment of the templates, up to where it has been followed
+        leads: set[tuple[int, int]] = set()
+        for x in sorted(seeds, key=lambda x: (x["place"], x["at"])):
+            place, at = x["place"], x["at"]
+            if x["kind"] == NAMED:
+                if at >= upto.get(place - at, 0):
+                    a, b = same_template(self.named, plain, place, at)
+                    upto[place - at] = b
+                    leak, new = changed_slots(self.named, plain, place - at, a, b, len(words))
+                    if leak:
+                        return False
+                    other = other or new
+                if x["word"] >= 0:
+                    leads.add((x["word"], self.named.place(place + x["lead"])))
+            else:
+                leads.add((x["word"], int(self.places[place + x["lead"]]) if x["kind"] == PLAIN else place))
+        done: set[tuple[int, int]] = set()  # words whose place a tried alignment already holds
+        for word, place in sorted(leads, key=lambda x: (x[1], x[0])):
+            if (word, place) in done:
+                continue
+            most = len(words) if self.changed else None
+            right, after = follow(self.doc, words, word, place, 1, most)
+            left, before = follow(self.doc, words, word - 1, place, -1, most)
+            o = place
+            for n, f in enumerate(right):
+                if not f:
+                    break
+                done.add((word + n, o))
+                o += len(words[word + n])
+            done.add((word, place))
+            flags = [*left[::-1], *right]
+            if enough(flags, len(words)):
+                return not self.changed
+            other = other or (self.changed and reparameterised(words, slots, word - len(left), flags, [*before[::-1], *after]))
+        return other

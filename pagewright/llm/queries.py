@@ -62,14 +62,12 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    items = [(r.item_id, r.text) for r in table(spark, d, "eval_items").select("item_id", "text").collect()]  # the held-out suite, taken in bounded blocks
-    return leakage.leaked(documents(spark, d), items)
+    return leakage.leaked(documents(spark, d), table(spark, d, "eval_items").select("item_id", "text"))
 
 
 def p7_changed(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which half of an item stands with its numbers, names and units consistently changed (re-parameterised)."""
-    items = [(r.item_id, r.text) for r in table(spark, d, "eval_items").select("item_id", "text").collect()]
-    return leakage.leaked(documents(spark, d), items, changed=True)
+    return leakage.leaked(documents(spark, d), table(spark, d, "eval_items").select("item_id", "text"), changed=True)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

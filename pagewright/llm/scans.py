@@ -35,6 +35,7 @@ from pagewright.llm.repeated import SALT, letters
 
 FIELDS = ("text", "extraction_text")
 SAMPLE = 3000  #: pages from which classifiers are fitted
+CORRECTED = 0.2  #: share of its places at which a misreading of the sample is corrected, at least
 FRAME_SAMPLE = 1000  #: of them, pages from which the frame's trees are fitted
 KNOWN = 400_000  #: words a task holds, at most
 RATIO = 4  #: a word is at least so many times as frequent as a misreading of it
@@ -264,68 +265,53 @@ def _tokens(text: str) -> set[str]:
 
 
 def labelled(pairs: DataFrame, sample: list) -> Any:
-    """Candidates of words of the sample, with a `label`: 1 if the word stands corrected so in a page's other reading, 0 if both readings
-    agree on it, or if the other has neither. A word that both have is counted once less, as one reading has it once more."""
-    both: set[str] = set()
-    moved: list[tuple[set[str], set[str]]] = []
-    for r in sample:
-        a, b = _tokens(r.text), _tokens(r.extraction_text)
-        both |= a & b
-        moved += [(a - b, b - a), (b - a, a - b)]
-    corrected = {w for x, _ in moved for w in x}
-    asked = pairs.sparkSession.createDataFrame([(w,) for w in sorted(both | corrected)] or [("",)], "w string")
-    rows = pairs.join(F.broadcast(asked), "w").toPandas()  # candidates of the sample's words only
+    """Candidates of words of the sample, with a `label`: 1 if the word stands corrected so in the other reading on at least a `CORRECTED`
+    of the pages where it does, or both readings agree on it, or the other has neither, else 0; and a `weight`, the root of the number of
+    those pages. Only pages with a corrected word tell that a word is right: two readings without one may be the same reading. A word
+    that is agreed on is counted once less, as one reading has it once more."""
+    read = [(_tokens(r.text), _tokens(r.extraction_text)) for r in sample]
+    asked = sorted(set().union(*(a | b for a, b in read)) if read else [])
+    rows = pairs.join(F.broadcast(pairs.sparkSession.createDataFrame([(w,) for w in asked] or [("",)], "w string")), "w").toPandas()  # candidates of the sample's words only
     by_word: dict[str, list[int]] = {}
     for i, w in enumerate(rows["w"]):
         by_word.setdefault(w, []).append(i)
-    label: dict[int, int] = {}
-    for x, other in moved:
-        for w in x:
-            for i in by_word.get(w, ()):
-                label[i] = max(label.get(i, 0), int(rows["c"][i] in other))
-    agreed = [i for w in both for i in by_word.get(w, ())]
-    for i in agreed:
-        label.setdefault(i, 0)
-    rows["nw"] -= rows.index.isin([i for i in agreed if not label[i]]) & (rows["nw"] > 1)
-    at = sorted(label)
-    return rows.iloc[at].assign(label=[label[i] for i in at]).reset_index(drop=True)
-
-
-def _ranked(pairs: DataFrame, first: Boost, second: Boost | None = None) -> DataFrame:
-    """Candidates with the ranker's `score`. The second round also knows how many words the first took for the same misreading (`k`)."""
+    yes, no = np.zeros(len(rows)), np.zeros(len(rows))
+    right = rows["c"].tolist()
+    agreed: set[str] = set()
+    for a, b in read:
+        moved = [(i, right[i] in other) for x, other in ((a - b, b - a), (b - a, a - b)) for w in x for i in by_word.get(w, ())]
+        if any(hit for _, hit in moved):
+            for i, hit in moved:
+                (yes if hit else no)[i] += 1
+            for w in a & b:
+                agreed.add(w)
+                for i in by_word.get(w, ()):
+                    no[i] += 1
+    rows = rows.assign(label=(yes > CORRECTED * (yes + no)).astype(int), weight=np.sqrt(yes + no))
+    rows["nw"] -= rows["w"].isin(agreed) & (rows["label"] == 0) & (rows["nw"] > 1)
+    return rows[rows["weight"] > 0].reset_index(drop=True)
+
+
+def ranker(pairs: DataFrame, sample: list) -> Boost:
+    """Boosted trees over candidates, fitted on pages read twice."""
+    known = labelled(pairs, sample)
+    x = features({k: list(known[k]) for k in known.columns}) if len(known) else np.zeros((0, 11))
+    return Boost().fit(x, known["label"].to_numpy(float), known["weight"].to_numpy())
+
+
+def corrections(pairs: DataFrame, model: Boost) -> DataFrame:
+    """(word, right, score): the words taken for misreadings, each with its best replacement. The ranker alone decides."""
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            rows = batch.to_pydict()
-            p = first.predict(features(rows)) if batch.num_rows else np.zeros(0)
-            if second is not None and batch.num_rows:
-                p = second.predict(again(rows, p))
-            yield batch.append_column("score", pa.array(p, pa.float64()))
-
-    return pairs.mapInArrow(score, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", score double")
+            p = model.predict(features(batch.to_pydict())) if batch.num_rows else np.zeros(0)
+            keep = pa.array(np.flatnonzero(p > 0.5))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(keep) for c in ("w", "c")), pa.array(p[p > 0.5])], names=["word", "right", "score"])
 
-
-def again(rows: dict[str, list], p: np.ndarray) -> np.ndarray:
-    """Features of the second round."""
-    short = np.minimum([len(x) for x in rows["w"]], [len(x) for x in rows["c"]]).astype(float)
-    letters_only = np.array([x.isalpha() for x in rows["a"]], float)
-    return np.column_stack([features(rows), p, np.log1p(np.array(rows["k"], float)), short, letters_only])
-
-
-def corrections(pairs: DataFrame, sample: list, keep: Any) -> DataFrame:
-    """(word, right, score): the words taken for misreadings, each with its best replacement. Boosted trees rank the candidates in two
-    rounds; the second knows how often the first found the same misreading, which tells a misreading from a pair of words."""
-    known = labelled(pairs, sample)
-    first = Boost().fit(features({k: list(known[k]) for k in known.columns}) if len(known) else np.zeros((0, 11)), known["label"].to_numpy(float))
-    found = keep(_ranked(pairs, first).where("score > 0.5").groupBy("a", "b").agg(F.count("*").alias("k")))
-    edits = pairs.sparkSession.createDataFrame(sorted(set(zip(known["a"], known["b"], strict=True))) or [("", "")], "a string, b string")  # of the sample
-    known = known.merge(found.join(F.broadcast(edits), ["a", "b"]).toPandas(), on=["a", "b"], how="left").fillna({"k": 0})
-    rows = {k: list(known[k]) for k in known.columns}
-    second = Boost().fit(again(rows, first.predict(features(rows))) if len(known) else np.zeros((0, 15)), known["label"].to_numpy(float))
-    ranked = _ranked(pairs.join(found, ["a", "b"], "left").fillna(0, ["k"]), first, second).where("score > 0.5")
-    return ranked.groupBy("w").agg(F.max_by("c", F.struct("score", "c")).alias("right"), F.max("score").alias("score")).withColumnRenamed("w", "word")
+    ranked = pairs.mapInArrow(score, "word string, right string, score double")
+    return ranked.groupBy("word").agg(F.max_by("right", F.struct("score", "right")).alias("right"), F.max("score").alias("score"))
 
 
 def training_words(right: DataFrame, most: int = TRAIN_WORDS) -> dict[str, int]:
@@ -869,7 +855,7 @@ def findings(pages: DataFrame, keep: Any = None, most: int = KNOWN) -> tuple[Dat
     vocab = keep(vocabulary(pages))
     pairs = keep(scored_pairs(keep(candidates(vocab)), vocab))
     sample = twice_read(pages)
-    fixes = keep(corrections(pairs, sample, keep))
+    fixes = keep(corrections(pairs, ranker(pairs, sample)))
     right = keep(vocab.join(fixes, "word", "left_anti"))
     known, least = frequent(right, most)
     joins = join_model(training_words(right), right)

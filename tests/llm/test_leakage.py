@@ -8,9 +8,13 @@ ITEM = "According to the register that Tamo Gilkelsk kept at Lunzoldale in 1836,
 WORDS = ITEM.split()
 
 
+def leaked(df, items, **how):
+    return L.leaked(df, df.sparkSession.createDataFrame(items, "item_id long, text string"), **how)
+
+
 def found(spark, text, item=ITEM):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    return L.leaked(df, [(7, item)]).count() > 0
+    return leaked(df, [(7, item)]).count() > 0
 
 
 def filler(n, seed=0):
@@ -58,7 +62,7 @@ def test_no_window_is_missed(spark):
             words[k] = "".join(rng.choice("qxz") for _ in range(5))
         rows.append((i, f"{filler(rng.randint(0, 30), i)} {' '.join(words)} {filler(rng.randint(0, 30), i + 500)}"))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert L.leaked(df, [(7, ITEM), (8, filler(30, 99))]).select("doc_id").distinct().count() == 120
+    assert leaked(df, [(7, ITEM), (8, filler(30, 99))]).select("doc_id").distinct().count() == 120
 
 
 def test_guaranteed_runs_by_brute_force():
@@ -73,11 +77,54 @@ def test_guaranteed_runs_by_brute_force():
         assert L.clean_run(n) == worst
 
 
-def test_blocks_nulls_and_repeats(spark, monkeypatch):
-    monkeypatch.setattr(L, "BLOCK_CHARS", 200)
-    df = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "  "), (1, ITEM)], "doc_id long, text string")
-    assert sorted(tuple(r) for r in L.leaked(df, [(7, ITEM), (8, None), (9, "!!!"), (10, ITEM.lower())]).collect()) == [(1, 7), (1, 7), (1, 10), (1, 10)]
-    assert L.leaked(df.limit(0), [(7, ITEM)]).count() == 0 and L.leaked(df, []).count() == 0
+def test_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "  "), (1, ITEM), (1, filler(30)), (None, ITEM)], "doc_id long, text string")
+    items = [(7, ITEM), (8, None), (9, "!!!"), (10, ITEM.lower()), (7, ITEM), (None, ITEM)]
+    assert {tuple(r) for r in leaked(df, items).collect()} == {(1, 7), (1, 10), (None, 7), (None, 10)} and leaked(df, items).count() == 4
+    assert leaked(df.limit(0), [(7, ITEM)]).count() == 0 and leaked(df, []).count() == 0
+
+
+def test_full_sieve_and_long_texts_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK", 100)
+    df = spark.createDataFrame([(i, f"{filler(300, i)} {ITEM} {filler(200, i + 9)}") for i in range(3)] + [(9, filler(500))], "doc_id long, text string")
+    assert {r.doc_id for r in leaked(df, [(7, ITEM)]).collect()} == {0, 1, 2}
+    monkeypatch.setattr(L, "LEAST_BITS", 6)
+    monkeypatch.setattr(L, "MOST_BITS", 6)
+    assert {r.doc_id for r in leaked(df, [(7, ITEM)]).collect()} == {0, 1, 2}
+
+
+NUMBERED = "Of 19 33 minutes and 5 parts 7 men said 12 or 40 acres 8 and 6 of 3 pieces 1802 1 stone 4 by 2 then 91"
+
+
+@pytest.mark.parametrize("item", [NUMBERED, "若青浦镇的账簿每75日快62分，而白湾村的年历每76日慢74分，则二者于第几日重合于普通的水车之下？", "1 2 3 4 5 6 7 8", "5 minutes", "7", ITEM])
+def test_a_window_lies_in_every_passage(item):
+    """Brute force over all clean runs of an item, between words that change its numbers and units at both ends."""
+    words = L.words_of(item)
+    kind, width, form, rows = L.plain_windows(words)
+    known = {form[at : at + width]: (word, lead) for at, word, lead in rows}
+    run = L.clean_run(len(words))
+    for i in range(len(words) - run + 1):
+        inside = "".join(words[i : i + run])
+        for before in ("", "x", "3"):
+            for after in ("", "x", "3", "s", "minutes", "es"):
+                text = before + inside + after
+                doc = L.counted(text) if kind == L.PLAIN else text
+                assert any(doc[k : k + width] in known for k in range(len(doc) - width + 1)), (inside, before, after)
+
+
+def test_changed_copies_are_found(spark):
+    """Recall of planted copies with other names and numbers."""
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    rows, items = [], []
+    for i in range(60):
+        form = f"{filler(2, i)} at {{}} the {filler(6, i + 100)} gains {{}} minutes in {{}} hours while {{}} {filler(5, i + 200)} or {{}} {filler(4, i + 300)}"
+        say = lambda: form.format(name(), rng.randint(2, 99), rng.randint(100, 2000), name(), rng.randint(2, 99))  # noqa: B023, E731
+        items.append((i, say()))
+        rows.append((i, f"{filler(rng.randint(0, 60), i + 400)} {say()} {filler(30, i + 500)}"))
+    got = {tuple(r) for r in leaked(spark.createDataFrame(rows, "doc_id long, text string"), items, changed=True).collect()}
+    right = sum(d == i for d, i in got)
+    assert right >= 57 and right == len(got)
 
 
 def test_typed_placeholders():
@@ -91,14 +138,14 @@ def test_reparameterised_items(spark):
     other = " ".join(names.get(w, w) for w in item.split())
     texts = [f"{filler(20)} {other} {filler(9, 1)}", item, other.replace("remainder", "copper").replace("foundry", "book").replace("day", "night"), filler(60), None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {tuple(r) for r in L.leaked(df, [(7, item)], changed=True).collect()} == {(0, 7)}
-    assert {tuple(r) for r in L.leaked(df, [(7, item)]).collect()} == {(1, 7)}
+    assert {tuple(r) for r in leaked(df, [(7, item)], changed=True).collect()} == {(0, 7)}
+    assert {tuple(r) for r in leaked(df, [(7, item)]).collect()} == {(1, 7)}
     assert L.slots_of(ITEM) == {5, 6, 9, 11, 27} and L.slots_of("若每75日") == {2, 3}
 
 
 def changed(spark, item, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id for r in L.leaked(df, [(7, item)], changed=True).collect()}
+    return {r.doc_id for r in leaked(df, [(7, item)], changed=True).collect()}
 
 
 def test_chinese_copies_with_other_names_and_numbers(spark):
