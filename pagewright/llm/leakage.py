@@ -9,7 +9,9 @@ that keeps the places of both. Then the slots and words around each meeting are
 * Windows begin at every word and are as wide as every run of words that a sufficient passage must hold without a replaced word (see
   `clean_run`), as far as its template doesn't depend on what stands around it. Whatever passage counts, one of these windows lies in
   it: the join loses nothing. An item with a run of nothing but numbers has windows of its stream instead.
-* With `changed` there are also windows at every place of the template with names, no wider than the shortest half of an item.
+* A document is compared with an item only if as many of its windows meet the item's as every such passage shares (`least_met`).
+* With `changed` there are also windows at every place of the template with names, no wider than the shortest half of an item; a quarter
+  of the windows of an unbroken half must meet.
 
 A meeting is extended word by word in both directions, and the words (and slots) that differ are counted.
 
@@ -75,7 +77,6 @@ def stream(text: str) -> str:
 
 
 _LIKE_UNITS = sorted({u.casefold() for u in UNITS.split()}, key=len, reverse=True)
-_LONGEST_UNIT = len(_LIKE_UNITS[0])
 _COUNTED = re.compile(r"(\d+)(" + "|".join(_LIKE_UNITS) + ")?")
 
 
@@ -262,18 +263,15 @@ def plain_windows(words: list[str]) -> tuple[int, int, str, list[tuple[int, int,
 
 
 def _settled(text: str, end: int) -> int:
-    """How many characters of a stream's template are the same whatever follows `end`: a unit may begin or go on there."""
-    last = None
-    for last in _COUNTED.finditer(text[:end]):
-        pass
-    size = len(counted(text[:end]))
-    if last is not None and end - last.end(1) < _LONGEST_UNIT:
-        size -= len(counted(text[last.end(1) : end])) if last.group(2) is None else len(text[last.end(2) : end]) + 1
-    return size
-
-
-def named_windows(item: Slotted, words: list[str]) -> tuple[int, int, str, list[tuple[int, int, int]]] | None:
-    """As `plain_windows`, at every place of the template with names; a word of -1 leads nowhere."""
+    """How many characters of a stream's template up to `end` are the same whatever follows: a unit may begin or go on there."""
+    numbers = list(re.finditer(r"\d+", text[max(0, end - 40) : end]))
+    after = text[max(0, end - 40) + numbers[-1].end() : end] if numbers else ""
+    open_ = after and any(len(u) > len(after) and u.startswith(after) for u in _LIKE_UNITS)
+    return len(counted(text[: end - len(after) if open_ else end]))
+
+
+def named_windows(item: Slotted, words: list[str]) -> tuple[int, int, str, list[tuple[int, int, int]], int] | None:
+    """As `plain_windows`, at every place of the template with names, and the length of the shortest half of it; a word of -1 leads nowhere."""
     least, shortest = max(1, sufficient(len(words))), len(item.stream)
     for i in range(len(item.words)):
         count = 0
@@ -292,11 +290,33 @@ def named_windows(item: Slotted, words: list[str]) -> tuple[int, int, str, list[
         k = bisect_right(leads, (at - 1, 1 << 60))
         near = k < len(leads) and leads[k][0] < at + width
         out.append((at, leads[k][1] if near else -1, leads[k][0] - at if near else 0))
-    return NAMED, width, item.stream, out
+    return NAMED, width, item.stream, out, shortest
+
+
+def least_met(words: list[str], kind: int, width: int, form: str, rows: list[tuple[int, int, int]]) -> int:
+    """How many windows of an item every sufficient passage shares with it, whichever words are replaced: those that lie in the passage
+    less those that a replaced word can break."""
+    text, starts = _runs(words)
+    there = places(text) if kind == PLAIN else np.arange(len(text) + 1)
+    at = np.array([r[0] for r in rows])
+    lo, hi = there[at], there[at + width - 1]  # first and last character of the stream
+    begin = np.searchsorted(starts, lo, "right") - 1
+    last = np.searchsorted(starts, hi, "right") - 1
+    unit = np.array([form[a] == "\x03" for a in at])
+    over = max(int(((begin <= k) & (last >= k)).sum()) for k in range(len(words)))  # windows that one word can break
+    ends = [_settled(text, e) if kind == PLAIN else e for e in starts]
+    least = 1 << 30
+    for size in range(max(1, sufficient(len(words))), len(words) + 1):
+        for k in range(len(words) - size + 1):
+            inside = (begin >= k) & ~((begin == k) & unit) & (at + width <= ends[k + size])
+            least = min(least, int(inside.sum()) - (size // 10) * over)
+    return max(1, least)
 
 
 def windows(items: DataFrame, changed: bool) -> DataFrame:
-    """(key, item_id, kind, width, at, word, lead) of the windows of every item (item_id, item)."""
+    """(key, item_id, kind, width, at, word, lead, need) of the windows of every item (item_id, item). A document in which fewer than `need`
+    windows of the kind meet the item holds no passage that counts; with `changed`, a quarter of the windows that an unbroken half of the
+    template has (and any of the others) makes a candidate."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -309,16 +329,20 @@ def windows(items: DataFrame, changed: bool) -> DataFrame:
                 for made in (plain_windows(words), named_windows(Slotted(text, all(len(w) == 1 for w in words)), words) if changed else None):
                     if made is None or not made[3]:
                         continue
-                    kind, width, form, rows = made
+                    kind, width, form, rows = made[:4]
                     at, word, lead = (np.array(x) for x in zip(*rows, strict=True))
                     _, h = next(hashes(_codes(form), kind, [width]))
-                    same = [np.full(len(at), x) for x in (ident, kind, width)]
+                    if changed:
+                        need = max(1, (made[4] - width + 1) // 4) if kind == NAMED else 1 << 30
+                    else:
+                        need = least_met(words, kind, width, form, rows)
+                    same = [np.full(len(at), x) for x in (ident, kind, width, need)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[at].view(np.int64)), pa.array(same[0], pa.int64()), pa.array(same[1], pa.int32()), pa.array(same[2], pa.int32()), *(pa.array(x, pa.int32()) for x in (at, word, lead))],
-                        names=["key", "item_id", "kind", "width", "at", "word", "lead"],
+                        [pa.array(h[at].view(np.int64)), pa.array(same[0], pa.int64()), pa.array(same[1], pa.int32()), pa.array(same[2], pa.int32()), *(pa.array(x, pa.int32()) for x in (at, word, lead, same[3]))],
+                        names=["key", "item_id", "kind", "width", "at", "word", "lead", "need"],
                     )
 
-    return items.mapInArrow(run, "key long, item_id long, kind int, width int, at int, word int, lead int")
+    return items.mapInArrow(run, "key long, item_id long, kind int, width int, at int, word int, lead int, need int")
 
 
 class Sieve:
@@ -529,7 +553,10 @@ def leaked(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text:
     if not kinds:
         return narrow.where("false").select(F.col("ident").alias(ident), F.lit(0).cast("long").alias("item_id"))
     met = met_windows(narrow, sieve(known, sum(r.n for r in groups)), kinds).join(known, "key")
-    seeds = met.groupBy("ident", "sign", "item_id").agg(F.collect_list(F.struct("kind", "at", "word", "lead", "place")).alias("seeds"))  # no more than a document has places
+    # no more seeds than a document has places
+    seeds = met.groupBy("ident", "sign", "item_id").agg(F.collect_list(F.struct("kind", "at", "word", "lead", "place")).alias("seeds"), F.min("need").alias("need"))
+    mine = F.filter("seeds", lambda x: x["kind"] == NAMED) if changed else F.col("seeds")
+    seeds = seeds.where(F.size(F.array_distinct(F.transform(mine, lambda x: x["at"]))) >= F.col("need")).drop("need")
     found = seeds.join(asked, "item_id").groupBy("ident", "sign").agg(F.collect_list(F.struct("item_id", "item", "seeds")).alias("found")).select(F.col("ident").alias("i"), F.col("sign").alias("s"), "found")
     whole = narrow.join(found, narrow["ident"].eqNullSafe(found["i"]) & (narrow["sign"] == found["s"])).select("ident", "text", "found")
     return _compared(whole, changed).distinct().withColumnRenamed("ident", ident)

@@ -112,6 +112,28 @@ def test_a_window_lies_in_every_passage(item):
                 assert any(doc[k : k + width] in known for k in range(len(doc) - width + 1)), (inside, before, after)
 
 
+@pytest.mark.parametrize("item", [NUMBERED, "若青浦镇的账簿每75日快62分，而白湾村的年历每76日慢74分，则二者于第几日重合于普通的水车之下？", ITEM])
+def test_as_many_windows_meet_as_every_passage_shares(item):
+    """Random passages with words replaced share at least `least_met` windows."""
+    rng = random.Random(5)
+    words = L.words_of(item)
+    kind, width, form, rows = L.plain_windows(words)
+    need = L.least_met(words, kind, width, form, rows)
+    known = {}
+    for at, _, _ in rows:
+        known.setdefault(form[at : at + width], []).append(at)
+    for _ in range(3000):
+        n = rng.randint(max(1, L.sufficient(len(words))), len(words))
+        k = rng.randint(0, len(words) - n)
+        said = words[k : k + n]
+        for i in rng.sample(range(n), n // 10):
+            said[i] = rng.choice(["x", "7", "某", "minutes"])
+        text = rng.choice(["", "x", "3"]) + "".join(said) + rng.choice(["", "s", "3", "minutes"])
+        doc = L.counted(text) if kind == L.PLAIN else text
+        met = {at for i in range(len(doc) - width + 1) for at in known.get(doc[i : i + width], ())}
+        assert len(met) >= need, (said, len(met), need)
+
+
 def test_changed_copies_are_found(spark):
     """Recall of planted copies with other names and numbers."""
     rng = random.Random(11)
