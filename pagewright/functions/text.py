@@ -17,9 +17,15 @@ def escape_tex(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 
+_SPACE = r"(?:\s|%[^\r\n]*(?:\r\n?|\n|\z))*"
+_OPTIONS = rf"(?:\[[^\[\]]*\]{_SPACE})?"
+_BRACED = rf"\{{[^{{}}]+\}}{_SPACE}"
+
+
 def is_tex_document(c: Column) -> Column:
-    """Whether a text is a whole TeX document: a class, then a body that is ended."""
-    return c.rlike(r"(?s)^\s*(?:%[^\n]*\n\s*)*\\documentclass\b.*\\begin\{document\}.*\\end\{document\}\s*\z")
+    """Whether a text begins with its class, after nothing but space, comments and packages that are asked for or given options."""
+    before = rf"(?:\\RequirePackage{_SPACE}{_OPTIONS}{_BRACED}{_OPTIONS}|\\PassOptionsTo(?:Package|Class){_SPACE}{_BRACED}{_BRACED})*"
+    return c.rlike(rf"\A{_SPACE}{before}\\documentclass{_SPACE}{_OPTIONS}\{{[^{{}}]+\}}")
 
 
 def plain_text(c: Column) -> Column:
@@ -43,11 +49,48 @@ def safe_path(c: Column) -> Column:
     return F.when(~bad, F.array_join(parts, "/"))
 
 
-def redact(c: Column) -> Column:
-    """Keys, tokens and inline data hidden."""
-    c = F.regexp_replace(c, r"(?i)data:[a-z0-9.+/-]+;base64,[A-Za-z0-9+/=]+", "[data]")
-    c = F.regexp_replace(c, r"(?i)(authorization\s*[:=]\s*)(bearer\s+)?[^\s,;\"']+", "$1[hidden]")
-    return F.regexp_replace(c, r"https?://[^\s\"')>]+", "[link]")
+def redact(c: Column, key: str = "") -> Column:
+    """A key by its letters, inline images, values of fields that hold keys, and inline data hidden. Addresses stay."""
+    if key:
+        c = F.replace(c, F.lit(key), F.lit("[hidden]"))
+    c = F.regexp_replace(c, r"data:image/[a-zA-Z0-9.+-]+;base64,[A-Za-z0-9+/=]+", "[data]")
+    c = F.regexp_replace(c, r'(?i)("(?:authorization|x-goog-api-key|api_key)"\s*:\s*")[^"\r\n]*', "$1[hidden]")
+    return F.regexp_replace(c, r'("inlineData"\s*:\s*\{[^{}]*"data"\s*:\s*")[A-Za-z0-9+/=]+', "$1[data]")
+
+
+def log_reason(c: Column) -> Column:
+    """Why a compilation failed, of one line of its log; the first rule that matches. Paths are masked, reasons capped."""
+    said = F.regexp_replace(F.regexp_replace(c, "^[! ]+", ""), r"(^|\s)/(?:[^\s/]+/)+[^\s\"'`]*", "$1[path]")
+    return (
+        F.when(c.rlike("File .*not found"), F.concat(F.lit("missing file "), F.regexp_extract(c, "File [`']([^`']+)[`']", 1)))
+        .when(F.contains(c, F.lit("Undefined control sequence")), "unknown command")
+        .when(F.lower(c).rlike("font.*(cannot be found|not loadable)"), "missing font")
+        .when(c.startswith("!"), F.substring(said, 1, 240))
+        .otherwise("not set")
+    )
+
+
+def base_url(c: Column) -> Column:
+    """An http address of host, port and path; null with credentials, a query or a fragment."""
+    return F.when(c.rlike(r"^https?://[^/?#@:\s]+(:\d+)?(/[^?#\s]*)?$"), c)
+
+
+def url_path(c: Column) -> Column:
+    """A path with a slash before it (an empty one stays empty); null if it has a scheme, host, query or fragment, or leaves its root."""
+    bad = c.rlike(r"^[a-z]+:|^//|[?#]") | F.array_contains(F.split(c, "/"), "..")
+    return F.when(c == "", c).when(~bad, F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c)))
+
+
+def selection(spec: Column, pages: Column) -> Column:
+    """`odd`, `even`, or numbers and ranges -> sorted distinct page numbers; null if the expression is wrong or leaves 1..`pages`."""
+    chosen = page_range(F.when(~spec.isin("odd", "even"), spec))
+    every = lambda first: F.when(pages >= first, F.sequence(F.lit(first), F.greatest(pages, F.lit(first)), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.when(spec == "odd", every(1)).when(spec == "even", every(2)).when(F.forall(chosen, lambda p: p <= pages), chosen)
+
+
+def canonical_json(fields: list[str]) -> Column:
+    """A flat record as compact JSON with its keys in order and its nulls kept, whatever the order of `fields`."""
+    return F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"})
 
 
 def utf8_prefix(c: Column, limit: int) -> Column:

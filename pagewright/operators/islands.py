@@ -81,3 +81,14 @@ def capped(values: Column, limit: int) -> Column:
         ).otherwise(F.struct(s["used"].alias("used"), s["kept"].alias("kept"), (s["i"] + 1).alias("i"))),
         lambda s: s["kept"],
     )
+
+
+def gutters(bins: DataFrame, by: str, at: str, mass: str, low: int, high: int, least: int, sides: int) -> DataFrame:
+    """(by, gutter, width): the widest empty run of bins from `low` to `high` that is at least `least` wide and has more than `sides` mass on
+    both sides; of equals the first. Every bin has a row."""
+    w = Window.partitionBy(by).orderBy(at)
+    m = bins.withColumn("_before", F.coalesce(F.sum(mass).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum(mass).over(Window.partitionBy(by)))
+    free = m.where((F.col(at) >= low) & (F.col(at) <= high) & (F.col(mass) == 0)).withColumn("_run", F.col(at) - F.row_number().over(w))
+    runs = free.groupBy(by, "_run").agg(F.min(at).alias("_lo"), F.count("*").alias("width"), F.min("_before").alias("_left"), (F.max("_total") - F.min("_before")).alias("_right"))
+    good = runs.where((F.col("width") >= least) & (F.col("_left") > sides) & (F.col("_right") > sides))
+    return good.groupBy(by).agg(F.max_by("_lo", F.struct("width", -F.col("_lo"))).alias("gutter"), F.max("width").alias("width"))

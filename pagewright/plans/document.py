@@ -44,16 +44,6 @@ def snk15_cascading_delete(s: SparkSession, d: str) -> DataFrame:
     return attempts(s, d).join(gone, "book_id", "left_anti").select("book_id", "page_number", "attempt")
 
 
-@query("""select install_id, file_no, coalesce(v->>'$.timeout_seconds', v->>'$.request_timeout', v->>'$.timeoutSeconds', '120') as timeout, coalesce(v->>'$.theme', 'plain') as theme
- from (select distinct install_id, file_no, case when json_valid(value) then value end as v from settings)""")
-def prj10_defaults(s: SparkSession, d: str) -> DataFrame:
-    """Settings over defaults, under any of the names they had."""
-    v = F.when(F.try_parse_json("value").isNotNull(), F.col("value"))
-    get = lambda k: F.get_json_object(v, f"$.{k}")
-    once = table(s, d, "settings").select("install_id", "file_no", "value").dropDuplicates(["install_id", "file_no"])
-    return once.select("install_id", "file_no", F.coalesce(get("timeout_seconds"), get("request_timeout"), get("timeoutSeconds"), F.lit("120")).alias("timeout"), F.coalesce(get("theme"), F.lit("plain")).alias("theme"))
-
-
 @query("""select pg.page_id, coalesce(nullif(pg.text, ''), nullif(pg.extraction_text, ''), '') as text, coalesce(b.paper_size, 'a4') as paper from pg
  left join (select * from (select *, row_number() over (partition by id order by file_no desc) r from bk) where r = 1) b on b.id = pg.book_id""")
 def prj12_overlay(s: SparkSession, d: str) -> DataFrame:
@@ -70,30 +60,13 @@ def prj22_book_files(s: SparkSession, d: str) -> DataFrame:
     return files(s, d).groupBy("book_id").agg(F.count("*").alias("files"), F.sum("page_count").alias("claimed"), F.array_join(F.transform(order, lambda x: x["filename"]), ",").alias("names"))
 
 
-@query("""select page_id, a_id, b_id from (select a.page_id, a.region_id as a_id, b.region_id as b_id, greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i,
- least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) as m, count(*) over (partition by a.page_id, a.region_id) as n from box a join box b on a.page_id = b.page_id and a.region_id < b.region_id
- where greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.2 * least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) and a.x0 < a.x1 and b.x0 < b.x1) where n = 1""")
-def jon17_unique_overlap(s: SparkSession, d: str) -> DataFrame:
-    """Boxes that share a fifth of the smaller one's area with exactly one later box."""
-    a, b = G.sides("a"), G.sides("b")
-    w, h = G.overlap(a, b)
-    met = G.pairs(boxes(s, d).where("x0 < x1"), "page_id", "region_id").where(w * h >= 0.2 * F.least(G.area(a), G.area(b))).selectExpr("a.page_id as page_id", "a.region_id as a_id", "b.region_id as b_id")
-    return met.withColumn("n", F.count("*").over(Window.partitionBy("page_id", "a_id"))).where("n = 1").drop("n")
-
-
 @query(""", up as (select page_id, region_id as node, region_id as at_id, parent_id, kind, 0 as depth from box where region_id is not null union all
- select up.page_id, up.node, b.region_id, b.parent_id, b.kind, up.depth + 1 from up join box b on b.page_id = up.page_id and b.region_id = up.parent_id where up.depth < 8)
+ select up.page_id, up.node, b.region_id, b.parent_id, b.kind, up.depth + 1 from up join box b on b.page_id = up.page_id and b.region_id = up.parent_id)
  select page_id, node, arg_min(at_id, depth) as column_id, min(depth) as depth from up where kind = 'column' group by page_id, node""")
 def jon22_nearest_ancestor(s: SparkSession, d: str) -> DataFrame:
-    """Nearest region at or above each region that is a column: parent steps unrolled to eight levels, then the least depth."""
+    """Nearest region at or above each region that is a column."""
     b = boxes(s, d).where("region_id is not null").select("page_id", "region_id", "parent_id", "kind")
-    now = b.select("page_id", F.col("region_id").alias("node"), F.col("region_id").alias("at_id"), "parent_id", "kind", F.lit(0).alias("depth"))
-    found = now.where("kind = 'column'")
-    parents = b.select("page_id", F.col("region_id").alias("at_id"), F.col("parent_id").alias("up"), F.col("kind").alias("k"))
-    for depth in range(1, 9):
-        now = now.where("parent_id is not null").select("page_id", "node", F.col("parent_id").alias("at_id")).join(parents, ["page_id", "at_id"]).select("page_id", "node", "at_id", F.col("up").alias("parent_id"), F.col("k").alias("kind"), F.lit(depth).alias("depth"))
-        found = found.unionByName(now.where("kind = 'column'"))
-    return found.groupBy("page_id", "node").agg(F.min_by("at_id", "depth").alias("column_id"), F.min("depth").alias("depth"))
+    return R.nearest_above(b, "region_id", "parent_id", ["page_id"], F.col("kind") == "column").withColumnRenamed("found", "column_id")
 
 
 @query("select page_id, bool_or(a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1) as collides from (select * from box where kind = 'figure') a join (select page_id, x0, y0, x1, y1 from box where kind <> 'figure') b using (page_id) where a.x0 is not null and b.x0 is not null group by page_id")
@@ -103,11 +76,12 @@ def jon28_collision_gate(s: SparkSession, d: str) -> DataFrame:
     return fig.join(rest, F.col("a.page_id") == F.col("b.page_id")).groupBy(F.col("a.page_id").alias("page_id")).agg(F.bool_or(G.intersects(G.sides("a"), G.sides("b"))).alias("collides"))
 
 
-@query("""select pg.page_id, case when f.id is null then 'missing file' when pg.source_page > f.page_count then 'beyond file' end as problem from pg left join fl f on f.book_id = pg.book_id and f.id = pg.source_id where f.id is null or pg.source_page > f.page_count""")
+@query("""select pg.page_id, case when f.id is null then 'missing file' when pg.source_page > f.page_count - 1 then 'beyond file' end as problem from pg left join fl f on f.book_id = pg.book_id and f.id = pg.source_id where f.id is null or pg.source_page > f.page_count - 1""")
 def jon29_all_or_errors(s: SparkSession, d: str) -> DataFrame:
+    """Entries without a file, or beyond its pages, of which the last isn't put out."""
     f = files(s, d).select("book_id", F.col("id").alias("source_id"), "page_count", F.lit(True).alias("there"))
     met = pages(s, d, "book_id", "source_id", "source_page").join(f, ["book_id", "source_id"], "left")
-    return met.select("page_id", F.when(F.col("there").isNull(), "missing file").when(F.col("source_page") > F.col("page_count"), "beyond file").alias("problem")).where("problem is not null")
+    return met.select("page_id", F.when(F.col("there").isNull(), "missing file").when(F.col("source_page") > F.col("page_count") - 1, "beyond file").alias("problem")).where("problem is not null")
 
 
 @query("""select book_id, kind, count(*) as n, round(median(y1 - y0), 6) as height, round(max(x1 - x0), 6) as widest from box where y0 < y1 and kind is not null group by all""")
@@ -128,26 +102,6 @@ def agg26_projection(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("x")).agg(F.sum("l_quantity").cast("bigint").alias("mass"), F.count("*").alias("n"))
 
 
-@query(""", h as (select lang, cast(floor(n_chars / 50) as bigint) as bin, count(*) as n from documents where n_chars is not null and lang is not null group by all),
- e as (select lang, bin, lead(bin) over (partition by lang order by bin) - bin - 1 as gap from h) select lang, arg_max(bin, (gap, -bin)) as starts_after, max(gap) as width from e where gap > 0 group by lang""")
-def win03_widest_gap(s: SparkSession, d: str) -> DataFrame:
-    """Widest empty run between occupied bins."""
-    h = table(s, d, "documents").where("n_chars is not null and lang is not null").select("lang", F.floor(F.col("n_chars") / 50).alias("bin")).distinct()
-    e = h.withColumn("gap", F.lead("bin").over(Window.partitionBy("lang").orderBy("bin")) - F.col("bin") - 1)
-    return e.where("gap > 0").groupBy("lang").agg(F.max_by("bin", F.struct("gap", -F.col("bin"))).alias("starts_after"), F.max("gap").alias("width"))
-
-
-@query(""", c as (select page_id, y0 as cut from box where y0 is not null union select page_id, y1 from box where y1 is not null),
- t as (select page_id, cut as top, lead(cut) over (partition by page_id order by cut) as bottom from c) select t.page_id, round(top, 6) as top, round(bottom, 6) as bottom, (select count(*) from box b where b.page_id = t.page_id and b.y0 < t.bottom and b.y1 > t.top) as crossing from t where bottom is not null""")
-def win07_strips(s: SparkSession, d: str) -> DataFrame:
-    """Strips between the cuts of a page, with the boxes that cross each."""
-    b = boxes(s, d)
-    cuts = b.select("page_id", F.explode(F.array("y0", "y1")).alias("top")).where("top is not null").distinct()
-    t = cuts.withColumn("bottom", F.lead("top").over(Window.partitionBy("page_id").orderBy("top"))).where("bottom is not null")
-    met = t.alias("t").join(b.select("page_id", "y0", "y1").alias("b"), (F.col("t.page_id") == F.col("b.page_id")) & (F.col("y0") < F.col("bottom")) & (F.col("y1") > F.col("top")), "left")
-    return met.groupBy(F.col("t.page_id").alias("page_id"), "top", "bottom").agg(F.count("y0").alias("crossing")).select("page_id", rnd(F.col("top")).alias("top"), rnd(F.col("bottom")).alias("bottom"), "crossing")
-
-
 @query(""", k as (select page_id, region_id, row_number() over (partition by page_id order by ord, region_id) as slot, x0 is not null as located, y0, x0 from box),
  s as (select page_id, slot, row_number() over (partition by page_id order by slot) as r from k where located), l as (select page_id, region_id, row_number() over (partition by page_id order by y0, x0, region_id) as r from k where located)
  select l.page_id, l.region_id, s.slot from l join s on s.page_id = l.page_id and s.r = l.r union all select page_id, region_id, slot from k where not located""")
@@ -175,19 +129,6 @@ def set04_set_equality(s: SparkSession, d: str) -> DataFrame:
     return k.select("page_id", (within & back).alias("same"), within.alias("within"))
 
 
-@query(r"select doc_id, regexp_matches(text, '(?i)\\(input|include|write18|openout)\b') as forbidden, regexp_matches(text, '^\s*\\documentclass') as whole from documents")
-def str06_forbidden(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.col("text").rlike(r"(?i)\\(input|include|write18|openout)\b").alias("forbidden"), F.col("text").rlike(r"^\s*\\documentclass").alias("whole"))
-
-
-@query()
-def str07_balanced(s: SparkSession, d: str) -> DataFrame:
-    """Whether braces close in order, comments and escapes left out: a fold over the tokens, in the JVM."""
-    clean = F.regexp_replace(F.regexp_replace("text", r"\\[\\{}%]", ""), r"(?m)%.*$", "")
-    depth = F.aggregate(F.regexp_extract_all(clean, F.lit("[{}]"), 0), F.struct(F.lit(0).alias("n"), F.lit(0).alias("low")), lambda a, x: F.struct((a["n"] + F.when(x == "{", 1).otherwise(-1)).alias("n"), F.least(a["low"], a["n"] + F.when(x == "{", 1).otherwise(-1)).alias("low")))
-    return table(s, d, "documents").select("doc_id", ((depth["n"] == 0) & (depth["low"] == 0)).alias("balanced"))
-
-
 @query()
 def str04_images(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.array_join(T.image_names(F.col("text")), ",").alias("images"))
@@ -200,13 +141,6 @@ def str12_error_classes(s: SparkSession, d: str) -> DataFrame:
     return pages(s, d, "error").select("page_id", F.nullif(F.regexp_extract("error", r"\b([1-5][0-9][0-9])\b", 1), F.lit("")).try_cast("int").alias("code"), reason.alias("reason"))
 
 
-@query(r"""select install_id, file_no, regexp_extract(u, '^https?://([^/:]+)', 1) as host, rtrim(u, '/') as url from (select install_id, file_no, v->>'$.base_url' as u from (select distinct install_id, file_no, case when json_valid(value) then value end as v from settings)) where u like 'http%'""")
-def str17_urls(s: SparkSession, d: str) -> DataFrame:
-    v = F.when(F.try_parse_json("value").isNotNull(), F.col("value"))
-    u = table(s, d, "settings").select("install_id", "file_no", F.get_json_object(v, "$.base_url").alias("u"), "value").dropDuplicates(["install_id", "file_no"]).where("u like 'http%'")
-    return u.select("install_id", "file_no", F.regexp_extract("u", "^https?://([^/:]+)", 1).alias("host"), F.expr("rtrim('/', u)").alias("url"))
-
-
 @query("""select id, file_no, sha256('{"file":"' || filename || '","pages":' || coalesce(cast(page_count as varchar), 'null') || '}') as digest from bk""")
 def str26_digest(s: SparkSession, d: str) -> DataFrame:
     """Digest of canonical JSON: sorted keys, compact, nulls kept."""

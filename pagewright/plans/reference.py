@@ -15,7 +15,7 @@ from pagewright.operators import geometry as G
 from pagewright.operators import islands as I
 from pagewright.operators import matching as M
 from pagewright.operators import relational as R
-from pagewright.sources.tables import KEYS, once, table
+from pagewright.sources.tables import KEYS, once, once_wide, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,8 +44,10 @@ seg as (select page_id, book_id, cast(je.key as bigint) as ord, je.value->>'$.ki
 
 
 def pages(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Pages once each. Rows that carry texts aren't sorted for it."""
     df = table(s, d, "pages")
-    return once(df.select(*dict.fromkeys([*KEYS["pages"], *columns])) if columns else df.drop("ingested_at"), KEYS["pages"])
+    keep = once_wide if not columns or {"text", "extraction_text"} & set(columns) else once
+    return keep(df.select(*dict.fromkeys([*KEYS["pages"], *columns])) if columns else df.drop("ingested_at"), KEYS["pages"])
 
 
 def files(s: SparkSession, d: str) -> DataFrame:
@@ -100,10 +102,11 @@ def src02_pages_of_files(s: SparkSession, d: str) -> DataFrame:
     return files(s, d).where("kind = 'pdf' and page_count > 0").select("book_id", "id", "filename", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("page_count"))).alias("source_page"))
 
 
-@query("select page_id, number, status, text from pg where not exists (select 1 from at_ where at_.book_id = pg.book_id and at_.page_number = pg.number)")
+@query("select page_id, number, status, text from pg where not exists (select 1 from at_ where at_.book_id = pg.book_id and at_.page_number = pg.number and at_.attempt > 1)")
 def jon09_pages_without_attempt(s: SparkSession, d: str) -> DataFrame:
-    done = attempts(s, d).select("book_id", F.col("page_number").alias("number")).distinct()
-    return pages(s, d, "book_id", "number", "status", "text").join(done, ["book_id", "number"], "left_anti").select("page_id", "number", "status", "text")
+    """Pages that were never asked for again."""
+    again = attempts(s, d).where("attempt > 1").select("book_id", F.col("page_number").alias("number")).distinct()
+    return pages(s, d, "book_id", "number", "status", "text").join(again, ["book_id", "number"], "left_anti").select("page_id", "number", "status", "text")
 
 
 @query("""select id, file_no, title, status from (select *, row_number() over (partition by id order by file_no desc) as r from bk) where r = 1""")
@@ -161,22 +164,6 @@ def jon07_lateral_json(s: SparkSession, d: str) -> DataFrame:
     return segments(s, d)
 
 
-@query("select page_id, string_agg(text, chr(10) order by ord) as plain from seg group by page_id")
-def prj15_plain_text(s: SparkSession, d: str) -> DataFrame:
-    """Nested texts joined in order, without an explode."""
-    array = F.from_json(F.when(F.try_parse_json("header_segments_json").isNotNull(), F.col("header_segments_json")), "array<struct<kind string, text string>>")
-    return pages(s, d, "header_segments_json").where(F.size(array) > 0).select("page_id", F.array_join(F.transform(array, lambda x: x["text"]), "\n").alias("plain"))
-
-
-@query("""select 'broken' as kind, count(*) as n from pg where blocks_json <> '' and not json_valid(blocks_json) union all
- select 'empty', count(*) from pg where blocks_json = '' union all select 'missing', count(*) from pg where blocks_json is null union all
- select 'good', count(*) from pg where blocks_json <> '' and json_valid(blocks_json)""")
-def jsn04_document_gates(s: SparkSession, d: str) -> DataFrame:
-    b = F.col("blocks_json")
-    kind = F.when(b.isNull(), "missing").when(b == "", "empty").when(F.try_parse_json(b).isNull(), "broken").otherwise("good")
-    return pages(s, d, "blocks_json").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("""select page_id, region_id, kind, case when x0 < x1 and y0 < y1 and x0 >= 0 and y0 >= 0 and x1 <= 1 and y1 <= 1 then 'located' else 'unlocated' end as place from box""")
 def jsn02_bad_box_downgrade(s: SparkSession, d: str) -> DataFrame:
     good = F.expr("x0 < x1 and y0 < y1 and x0 >= 0 and y0 >= 0 and x1 <= 1 and y1 <= 1")
@@ -214,7 +201,7 @@ def jon08_semi(s: SparkSession, d: str) -> DataFrame:
 
 @query(""", up as (select book_id, id as node, id as root, 0 as depth from fl where parent_id is null or not exists
  (select 1 from fl p where p.book_id = fl.book_id and p.id = fl.parent_id)
- union all select fl.book_id, fl.id, up.root, up.depth + 1 from fl join up on fl.book_id = up.book_id and fl.parent_id = up.node where up.depth < 32)
+ union all select fl.book_id, fl.id, up.root, up.depth + 1 from fl join up on fl.book_id = up.book_id and fl.parent_id = up.node)
 select book_id, node, root, depth from up""")
 def jon10_roots(s: SparkSession, d: str) -> DataFrame:
     return R.roots(files(s, d), "id", "parent_id", ["book_id"])
@@ -222,16 +209,9 @@ def jon10_roots(s: SparkSession, d: str) -> DataFrame:
 
 @query("""select book_id, page_id, pos from (select book_id, page_id, row_number() over (partition by book_id order by position, number) - 1 as pos from pg where selected = 1)""")
 def jon11_selection_order(s: SparkSession, d: str) -> DataFrame:
-    """A book's ordered selection, exploded again with its order."""
-    chosen = pages(s, d, "book_id", "position", "number", "selected").where("selected = 1").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("position", "number", "page_id"))).alias("ids"))
-    return chosen.select("book_id", F.posexplode("ids").alias("pos", "x")).select("book_id", F.col("x.page_id").alias("page_id"), F.col("pos").cast("bigint").alias("pos"))
-
-
-@query("""select b.id as book_id, count(p.number) as stored, max(b.page_count) as claimed, count(p.number) <= max(b.page_count) as within
- from (select * from (select *, row_number() over (partition by id order by file_no desc) r from bk) where r = 1) b join pg p on p.book_id = b.id group by b.id""")
-def jon12_subset(s: SparkSession, d: str) -> DataFrame:
-    b = R.newest(books(s, d), ["id"], [F.col("file_no").desc()]).select(F.col("id").alias("book_id"), "page_count")
-    return pages(s, d, "book_id", "number").join(b, "book_id").groupBy("book_id").agg(F.count("number").alias("stored"), F.max("page_count").alias("claimed")).withColumn("within", F.col("stored") <= F.col("claimed"))
+    """The place of each selected page in its book's order, joined to the page."""
+    chosen = pages(s, d, "book_id", "position", "number", "selected").where("selected = 1")
+    return R.prefix_sums(chosen, ["book_id"], ["position", "number", "page_id"], F.lit(1)).select("book_id", "page_id", F.col("before").alias("pos"))
 
 
 @query("select a.page_id, a.region_id as a_id, b.region_id as b_id from box a join box b on a.page_id = b.page_id and a.region_id < b.region_id where a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1")
@@ -239,19 +219,12 @@ def jon14_intersecting(s: SparkSession, d: str) -> DataFrame:
     return G.pairs(boxes(s, d), "page_id", "region_id").where(G.intersects(G.sides("a"), G.sides("b"))).selectExpr("a.page_id as page_id", "a.region_id as a_id", "b.region_id as b_id")
 
 
-@query("select a.page_id, a.region_id as outer_id, b.region_id as inner_id from box a join box b on a.page_id = b.page_id and a.region_id <> b.region_id where a.x0 <= b.x0 and a.y0 <= b.y0 and a.x1 >= b.x1 and a.y1 >= b.y1")
+@query("select page_id, region_id, part from box join (values ('left', 0.0, 0.0, 0.5, 1.0), ('right', 0.5, 0.0, 1.0, 1.0), ('top', 0.0, 0.0, 1.0, 0.5), ('whole', 0.0, 0.0, 1.0, 1.0)) v(part, a, b, c, e) on v.a <= x0 and v.b <= y0 and v.c >= x1 and v.e >= y1")
 def jon15_containing(s: SparkSession, d: str) -> DataFrame:
-    a, b = boxes(s, d).alias("a"), boxes(s, d).alias("b")
-    met = a.join(b, (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.region_id") != F.col("b.region_id")))
-    return met.where(G.contains(G.sides("a"), G.sides("b"))).selectExpr("a.page_id as page_id", "a.region_id as outer_id", "b.region_id as inner_id")
-
-
-@query("""select page_id, a_id, b_id, round(inter / (aa + ab - inter), 6) as iou from (select a.page_id, a.region_id as a_id, b.region_id as b_id,
- greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as inter, (a.x1 - a.x0) * (a.y1 - a.y0) as aa,
- (b.x1 - b.x0) * (b.y1 - b.y0) as ab from box a join box b on a.page_id = b.page_id and a.region_id < b.region_id where a.x0 is not null and b.x0 is not null) where inter > 0""")
-def jon16_iou(s: SparkSession, d: str) -> DataFrame:
-    a, b = G.sides("a"), G.sides("b")
-    return G.pairs(boxes(s, d), "page_id", "region_id").where(G.intersects(a, b)).select("a.page_id", F.col("a.region_id").alias("a_id"), F.col("b.region_id").alias("b_id"), rnd(G.iou(a, b)).alias("iou"))
+    """The parts of a page (four, broadcast) in which each region lies."""
+    v = s.createDataFrame([("left", 0.0, 0.0, 0.5, 1.0), ("right", 0.5, 0.0, 1.0, 1.0), ("top", 0.0, 0.0, 1.0, 0.5), ("whole", 0.0, 0.0, 1.0, 1.0)], "part string, a double, b double, c double, e double")
+    inside = G.contains([F.col(x) for x in ("a", "b", "c", "e")], [F.col(x) for x in G.SIDES])
+    return boxes(s, d).join(F.broadcast(v), inside).select("page_id", "region_id", "part")
 
 
 @query("""select page_id, arg_min(region_id, (area, region_id)) as region_id from (select page_id, region_id, (x1 - x0) * (y1 - y0) as area from box
@@ -274,20 +247,12 @@ def jon23_collisions(s: SparkSession, d: str) -> DataFrame:
     return G.pairs(boxes(s, d), "page_id", "region_id").where((w > 0.1) & (h > 0.1)).selectExpr("a.page_id as page_id", "a.region_id as a_id", "b.region_id as b_id")
 
 
-@query("""select a.page_id as page_a, b.page_id as page_b from pg a join pg b on a.book_id = b.book_id and a.page_id < b.page_id and a.text is not distinct from b.text
- and a.width is not distinct from b.width and a.height is not distinct from b.height where a.text <> ''""")
-def jon25_identity(s: SparkSession, d: str) -> DataFrame:
-    """Pages of one book that are equal in text and size, null-safe; the hash keeps the shuffle narrow, the texts are compared after it."""
-    p = pages(s, d, "book_id", "text", "width", "height").where("text <> ''").withColumn("h", F.xxhash64("text"))
-    a, b = p.alias("a"), p.alias("b")
-    same = (F.col("a.book_id") == F.col("b.book_id")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.page_id") < F.col("b.page_id")) & (F.col("a.text") == F.col("b.text"))
-    return a.join(b, same & F.col("a.width").eqNullSafe(F.col("b.width")) & F.col("a.height").eqNullSafe(F.col("b.height"))).select(F.col("a.page_id").alias("page_a"), F.col("b.page_id").alias("page_b"))
-
-
 @query("""select coalesce(p.book_id, a.book_id) as book_id, coalesce(p.number, a.page_number) as number, case when a.book_id is null then 'left' else 'right' end as side
- from (select distinct book_id, number from pg) p full join (select distinct book_id, page_number from at_) a on p.book_id = a.book_id and p.number = a.page_number where p.book_id is null or a.book_id is null""")
+ from (select distinct book_id, number from pg where selected = 1) p full join (select distinct book_id, page_number from at_ where returned = 1) a on p.book_id = a.book_id and p.number = a.page_number where p.book_id is null or a.book_id is null""")
 def jon27_exact_key_sets(s: SparkSession, d: str) -> DataFrame:
-    return R.same_keys(table(s, d, "pages").select("book_id", "number"), table(s, d, "page_attempts").select("book_id", F.col("page_number").alias("number")), ["book_id", "number"])
+    """Keys of selected pages against keys of answered requests: those that only one side has."""
+    answered = table(s, d, "page_attempts").where("returned = 1").select("book_id", F.col("page_number").alias("number"))
+    return R.same_keys(table(s, d, "pages").where("selected = 1").select("book_id", "number"), answered, ["book_id", "number"])
 
 
 def _readings(s: SparkSession, d: str) -> DataFrame:
@@ -344,20 +309,11 @@ def agg11_median_height(s: SparkSession, d: str) -> DataFrame:
 
 @query("""select book_id, list_sort(list(w))[least(count(*), cast(floor(count(*) * 0.7) as bigint) + 1)] as w70 from (select book_id, round(x1 - x0, 6) as w from box where x1 > x0) group by book_id""")
 def agg13_by_index(s: SparkSession, d: str) -> DataFrame:
-    """The value at 70 % of the sorted places, found by rank (no array of a group is built)."""
-    w = Window.partitionBy("book_id")
+    """The value at 70 % of the sorted places, found by rank: no array of a group is built, and no group is one task's."""
     b = boxes(s, d).where("x1 > x0").select("book_id", rnd(F.col("x1") - F.col("x0")).alias("w"))
-    b = b.withColumn("r", F.row_number().over(w.orderBy("w"))).withColumn("n", F.count("*").over(w))
-    return b.where("r = least(n, cast(floor(n * 0.7) as bigint) + 1)").select("book_id", F.col("w").alias("w70"))
-
-
-@query("""select book_id, kind, n, round(n / total, 6) as share from (select *, sum(n) over (partition by book_id) as total, row_number() over (partition by book_id order by n desc, kind) as r
- from (select book_id, kind, count(*) as n from box where kind is not null group by all)) where r = 1 and total >= 2""")
-def agg14_mode(s: SparkSession, d: str) -> DataFrame:
-    c = boxes(s, d).where("kind is not null").groupBy("book_id", "kind").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("book_id")
-    c = c.withColumn("total", F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "kind")))
-    return c.where("r = 1 and total >= 2").select("book_id", "kind", "n", rnd(F.col("n") / F.col("total")).alias("share"))
+    c = b.groupBy("book_id", "w").agg(F.count("*").alias("c"))  # equal values have one place
+    n = R.prefix_sums(c, ["book_id"], ["w"], F.col("c")).withColumn("at", F.least("whole", F.floor(F.col("whole") * 0.7) + 1))
+    return n.where("before < at and at <= before + c").select("book_id", F.col("w").alias("w70"))
 
 
 @query("select page_id, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from box where x0 is not null group by page_id")
@@ -391,40 +347,6 @@ def win01_islands(s: SparkSession, d: str) -> DataFrame:
     return I.islands(e, ["user_id"], "us", F.lit(3600000000)).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-@query(""", g as (select page_id, region_id, y0, y0 - lag(y0) over (partition by page_id order by y0, region_id) as gap from box where y0 is not null),
- t as (select page_id, greatest(0.02, 2 * median(gap)) as th from g group by page_id)
- select page_id, region_id, cast(sum(case when gap > th then 1 else 0 end) over (partition by page_id order by y0, region_id rows unbounded preceding) as bigint) as band from g join t using (page_id)""")
-def win02_bands(s: SparkSession, d: str) -> DataFrame:
-    """Bands parted where a gap is more than twice the page's median gap."""
-    w = Window.partitionBy("page_id").orderBy("y0", "region_id")
-    b = boxes(s, d).where("y0 is not null").withColumn("gap", F.col("y0") - F.lag("y0").over(w))
-    limit = b.groupBy("page_id").agg(F.greatest(F.lit(0.02), 2 * F.median("gap")).alias("th"))
-    new = F.when(F.col("gap") > F.col("th"), 1).otherwise(0)
-    return b.join(limit, "page_id").select("page_id", "region_id", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("band"))
-
-
-@query("""select lang, arg_max(bin, (round(v, 6), -bin)) as threshold from (select lang, bin, n0 * (n1 - n0) * power(s0 / n0 - (s1 - s0) / (n1 - n0), 2) as v from
- (select lang, bin, sum(n) over w as n0, sum(bin * n) over w as s0, sum(n) over (partition by lang) as n1, sum(bin * n) over (partition by lang) as s1
- from (select lang, cast(floor(n_chars / 100) as bigint) as bin, cast(count(*) as double) as n from documents where n_chars is not null and lang is not null group by all)
- window w as (partition by lang order by bin rows unbounded preceding)) where n0 < n1) group by lang""")
-def win04_otsu(s: SparkSession, d: str) -> DataFrame:
-    h = table(s, d, "documents").where("n_chars is not null and lang is not null").groupBy("lang", F.floor(F.col("n_chars") / 100).alias("bin")).agg(F.count("*").alias("n"))
-    return I.otsu(h, ["lang"], "bin", "n")
-
-
-@query("""select page_id, round(sum(greatest(0.0, y1 - greatest(y0, coalesce(reach, y0)))), 6) as covered, count(*) as parts from (select *, max(y1) over
- (partition by page_id order by y0, y1 rows between unbounded preceding and 1 preceding) as reach from box where y0 < y1) group by page_id""")
-def win05_covered(s: SparkSession, d: str) -> DataFrame:
-    return I.covered(boxes(s, d), ["page_id"], "y0", "y1").withColumn("covered", rnd(F.col("covered")))
-
-
-@query("""select b.page_id, b.region_id, (select count(*) from box c where c.page_id = b.page_id and c.kind = 'header' and c.y0 <= b.y0) as section from box b where b.y0 is not null""")
-def win06_sections(s: SparkSession, d: str) -> DataFrame:
-    """Number of dividing regions at or above each region: a running count with peers."""
-    w = Window.partitionBy("page_id").orderBy("y0").rangeBetween(Window.unboundedPreceding, 0)
-    return boxes(s, d).where("y0 is not null").select("page_id", "region_id", F.count_if(F.col("kind") == "header").over(w).alias("section"))
-
-
 @query()
 def win09_capacity(s: SparkSession, d: str) -> DataFrame:
     """Lines of a page kept within 300 characters; lines that don't fit are passed over. A fold has no SQL form."""
@@ -444,15 +366,14 @@ def win11_batches(s: SparkSession, d: str) -> DataFrame:
 
 @query("""select page_id, cast(floor(((pos + 1) * 4 - 1) / n) as bigint) as chunk from (select page_id, row_number() over (partition by book_id order by number) - 1 as pos, count(*) over (partition by book_id) as n from pg)""")
 def win12_chunks(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("book_id")
-    p = pages(s, d, "book_id", "number").withColumn("pos", F.row_number().over(w.orderBy("number")) - 1).withColumn("n", F.count("*").over(w))
-    return p.select("page_id", I.chunk_of(F.col("pos"), F.col("n"), F.lit(4)).alias("chunk"))
+    p = R.prefix_sums(pages(s, d, "book_id", "number"), ["book_id"], ["number", "page_id"], F.lit(1))
+    return p.select("page_id", I.chunk_of(F.col("before"), F.col("whole"), F.lit(4)).alias("chunk"))
 
 
 @query("""select page_id, coalesce(cast(sum(w) over (partition by book_id order by number rows between unbounded preceding and 1 preceding) as bigint), 0) as before from (select page_id, book_id, number, case when status = 'ready' then 1 else 3 end as w from pg)""")
 def win13_protected(s: SparkSession, d: str) -> DataFrame:
-    p = pages(s, d, "book_id", "number", "status").withColumn("w", F.when(F.col("status") == "ready", 1).otherwise(3))
-    return I.protected(p, ["book_id"], [F.col("number")], "w").select("page_id", F.col("before").cast("bigint").alias("before"))
+    need = F.when(F.col("status") == "ready", 1).otherwise(3)
+    return R.prefix_sums(pages(s, d, "book_id", "number", "status"), ["book_id"], ["number", "page_id"], need).select("page_id", "before")
 
 
 @query("select book_id, page_number, max(attempt) filter (returned = 0) as lost, max(attempt) filter (returned = 1) as kept from at_ group by all")
@@ -462,8 +383,8 @@ def win14_last_of_each(s: SparkSession, d: str) -> DataFrame:
 
 @query("select page_id, row_number() over (partition by book_id order by position, number) - 1 as place from pg where status <> 'failed'")
 def win16_renumber(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("book_id").orderBy("position", "number")
-    return pages(s, d, "book_id", "position", "number", "status").where("status <> 'failed'").select("page_id", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
+    p = pages(s, d, "book_id", "position", "number", "status").where("status <> 'failed'")
+    return R.prefix_sums(p, ["book_id"], ["position", "number", "page_id"], F.lit(1)).select("page_id", F.col("before").alias("place"))
 
 
 # --- order, top-k, sets ------------------------------------------------------------------------------------------------
@@ -490,9 +411,10 @@ def set02_differences(s: SparkSession, d: str) -> DataFrame:
     return k.select("page_id", F.size(F.array_except(want, F.col("k"))).cast("bigint").alias("missing"), F.arrays_overlap("k", seen).alias("pictured"))
 
 
-@query("select page_id, region_id, count(*) as n from box group by all having count(*) > 1")
+@query("select page_id, count(*) as n from pages group by page_id having count(*) > 1")
 def set06_duplicate_keys(s: SparkSession, d: str) -> DataFrame:
-    return boxes(s, d).groupBy("page_id", "region_id").agg(F.count("*").alias("n")).where("n > 1")
+    """Keys of rows that arrived more than once."""
+    return table(s, d, "pages").groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("select md5(text) as h, count(*) as copies, min(doc_id) as doc_id from documents where text <> '' group by text having count(*) > 1")
@@ -514,12 +436,6 @@ def str05_plain(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.plain_text(F.col("text")).alias("plain"))
 
 
-@query("""select doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'data:[a-z0-9.+/-]+;base64,[A-Za-z0-9+/=]+', '[data]', 'gi'), '(authorization\\s*[:=]\\s*)(bearer\\s+)?[^\\s,;"'']+', '\\1[hidden]', 'gi'),
- 'https?://[^\\s"'')>]+', '[link]', 'g') as clean from documents""")
-def str10_redact(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", T.redact(F.col("text")).alias("clean"))
-
-
 @query("select doc_id, octet_length(encode(text)) as bytes, length(text) as chars, octet_length(encode(text)) > 400 as longer from documents")
 def str11_byte_sizes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.length("text").cast("bigint").alias("chars"), (F.octet_length("text") > 400).alias("longer"))
@@ -540,13 +456,6 @@ def str16_safe_names(s: SparkSession, d: str) -> DataFrame:
     return books(s, d).select("id", "file_no", T.safe_name(F.col("title")).alias("name"))
 
 
-@query("""select book_id, string_agg(cast(number as varchar), ',' order by number) as numbers from (select distinct book_id, number from pg where number between 3 and 12 or number = 1) group by book_id""")
-def str22_page_ranges(s: SparkSession, d: str) -> DataFrame:
-    """Pages of each book named by the expression 1,3-12."""
-    wanted = pages(s, d, "book_id", "number").where(F.array_contains(T.page_range(F.lit("1, 3-12")), F.col("number").cast("int")))
-    return wanted.groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_set("number")), ",").alias("numbers"))
-
-
 @query("select page_id, 'v1-' || substr(sha256(page_id || '|' || coalesce(text, '')), 1, 20) as stable from pg")
 def str27_stable_ids(s: SparkSession, d: str) -> DataFrame:
     return pages(s, d, "text").select("page_id", T.stable_id("v1-", F.col("page_id"), F.col("text")).alias("stable"))

@@ -41,13 +41,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(where)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The application's own folder in the one that spark.checkpoint.dir names."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written as a table in the checkpoint folder and read from there: cuts the lineage, survives lost executors
     and is smaller than a checkpoint of rows. The table is removed when the application ends."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     sc = spark.sparkContext
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
