@@ -59,6 +59,40 @@ def test_held_out_accuracy():
     assert right / total > 0.95
 
 
+def strange(rng):
+    """Spam and texts of books in forms that training doesn't make: other words, fields and signs."""
+    noun = [a + b for a in "ket rib sad anc mir can bas pil but lad wag pep hum tor vel".split() for b in "tle bon dle hor ror ket ow ton der on".split()]
+    verb = [a + "ed" for a in "carri mend paint follow remember answer open measur gather lift polish count weigh harvest sketch fold".split()]
+    name = [a + b for a in "Agn Bert Clar Diet Ew Fried Gis Heinr Is Jul".split() for b in "es ram a rich ald erike old une".split()]
+    few = rng.sample(noun, 3)
+    sentence = lambda: f"{rng.choice(name)} {rng.choice(verb)} the {rng.choice(noun)} before {rng.choice(name)} had {rng.choice(verb)} a {rng.choice(noun)} near the {rng.choice(noun)}{rng.choice([' on Monday.', ' at dusk.', ', or so they said.', ' again?'])}"
+    around = [sentence() for _ in range(rng.randint(0, 2))]
+    spam_forms = [
+        [f"SKU-{rng.randint(1000, 9999)}; {rng.choice(few)} {rng.choice(few)}; {rng.randint(1, 90)},{rng.randint(10, 99)} EUR; in stock" for _ in range(25)],
+        [f"{rng.choice(few)} {rng.choice(few)} online {rng.choice(few)} {rng.choice(few)} now" for _ in range(25)],
+        [f"* [{rng.choice(noun)} {rng.choice(noun)}](https://{rng.choice(noun)}-{rng.choice(noun)}.org/{rng.randint(1, 999)}.html)" for _ in range(25)],
+        [f"Home > {rng.choice(few)} > {rng.choice(few)} > {rng.choice(few)}" for _ in range(25)],
+        [" ".join(f"#{rng.choice(few)}{rng.choice(few)}" for _ in range(60))],
+        [" ".join(f"{rng.choice(few)} {rng.choice(few)}" for _ in range(90))],
+    ]
+    book_forms = [
+        [sentence() for _ in range(25)],
+        [f"{rng.choice(noun).capitalize()}, {rng.choice(verb)}, {rng.randint(2, 90)}, {rng.randint(91, 300)}" for _ in range(25)],
+        [f"Chapter {i}. {rng.choice(name)} {rng.choice(verb)} {rng.choice(noun)} {rng.choice(noun)} . . . . {i * 11}" for i in range(1, 20)],
+        [f"{i}. {rng.choice(name)}, {rng.choice('ABCD')}. On the {rng.choice(noun)} and the {rng.choice(noun)}. {rng.choice(name)}stadt, {1600 + rng.randint(1, 390)}." for i in range(1, 20)],
+        [f"{rng.choice(noun)}\tn.\ta thing that {rng.choice(name)} {rng.choice(verb)} near the {rng.choice(noun)}" for _ in range(20)],
+    ]
+    form = rng.choice(spam_forms)
+    return "\n".join([*around, *form, *around[:1]]), "\n".join([sentence(), *rng.choice(book_forms)])
+
+
+def test_forms_that_training_does_not_make():
+    rng = random.Random(99)
+    pairs = [strange(rng) for _ in range(200)]
+    found, wrong = sum(share(a) > 0.5 for a, _ in pairs), sum(share(b) > 0.5 for _, b in pairs)
+    assert found >= 180 and wrong <= 10, (found, wrong)
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, PROSE, 0), (2, "pdf download " * 50, 0), (3, None, 0), (4, "", 0), (2, "pdf download " * 50, 0), (5, "w " * 40000, 0)], "doc_id long, text string, prose int")
     assert sorted(r.doc_id for r in spam.flagged(df).collect())[:2] == [2, 2] and spam.flagged(df.limit(0)).count() == 0
