@@ -33,6 +33,13 @@ CHANGES = "source_table string, stream_key string, seq int, change string, field
 OPEN = "?"
 
 
+def promote(*types: str | None) -> str:
+    """The lattice of field types: null (none is known) lies under every type, equal types meet in themselves, others in text (JSON text for
+    arrays and objects). The one rule for schemas, for tables and for what counts as a change of type."""
+    known = {t for t in types if t not in (None, "null", OPEN)}
+    return known.pop() if len(known) == 1 else "text" if known else "null"
+
+
 def _text(value: Any) -> str | None:
     """A value written as text for the comparison of renamed fields; None if it never matches."""
     if value is None or value == "" or isinstance(value, (list, dict)):
@@ -66,7 +73,7 @@ def _step(state: dict[str, list] | None, fields: dict[str, list], default: str |
                 q = next(q for q in new if fields[q][1] == v)
                 moved[q] = p
                 out.append(("renamed", p, q))
-                if state[p][0] != fields[q][0] and state[p][0] not in (None, OPEN):
+                if fields[q][0] is not None and promote(state[p][0], fields[q][0]) != fields[q][0]:
                     out.append(("retyped", q, ""))
     left = set(moved.values())
     out += [("removed", p, "") for p in gone if p not in left]
@@ -76,7 +83,7 @@ def _step(state: dict[str, list] | None, fields: dict[str, list], default: str |
         before = state[p][0] if p in state else None
         if t is None:
             t = before
-        elif before not in (None, OPEN) and before != t:
+        elif before is not None and promote(before, t) != t:
             out.append(("retyped", p, ""))
         after[p] = [t, v]
     return out, after
@@ -199,12 +206,6 @@ def changes(records: DataFrame, versioned: tuple[str, ...] = ("pages",), block:
     return ordered(keyed.union(starts)).mapInArrow(differences, CHANGES)
 
 
-#: Promotion lattice of field types: a null gives way to anything, equal types stay, everything else meets in text (JSON text for arrays and objects).
-def promote(types: frozenset[str] | set[str]) -> str:
-    known = set(types) - {"null"}
-    return known.pop() if len(known) == 1 else "text" if known else "null"
-
-
 def observed_types(records: DataFrame) -> DataFrame:
     """(source_table, field, type, n) counted in the tasks that read the records: schemas are read in parallel and only
     distinct (field, type) pairs are shuffled."""
@@ -226,15 +227,17 @@ def observed_types(records: DataFrame) -> DataFrame:
 
 
 def union_schema(records: DataFrame) -> DataFrame:
-    """(source_table, field, types, promoted, records): the union schema of each kind of record."""
-    return (
-        observed_types(records)
-        .groupBy("source_table", "field")
-        .agg(F.sort_array(F.collect_set("type")).alias("types"), F.sum("n").alias("records"))
-        .withColumn("known", F.filter("types", lambda t: t != "null"))
-        .withColumn("promoted", F.when(F.size("known") == 1, F.element_at("known", 1)).when(F.size("known") == 0, "null").otherwise("text"))
-        .select("source_table", "field", F.concat_ws(",", "types").alias("types"), "promoted", "records")
-    )
+    """(source_table, field, types, promoted, records): the union schema of each kind of record, its types folded through the lattice.
+    Only a row for each field reaches the fold."""
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.append_column("promoted", pa.array([promote(*t) for t in batch.column("seen").to_pylist()], pa.string()))
+
+    found = observed_types(records).groupBy("source_table", "field").agg(F.sort_array(F.collect_set("type")).alias("seen"), F.sum("n").alias("records"))
+    return found.mapInArrow(fold, "source_table string, field string, seen array<string>, records long, promoted string").select("source_table", "field", F.concat_ws(",", "seen").alias("types"), "promoted", "records")
 
 
 def unify(records: DataFrame, keys: list[str], fields: list[tuple[str, str]]) -> DataFrame:

@@ -64,4 +64,4 @@ def test_empty_table_and_union_schema(spark):
 
 
 def test_promotion_lattice():
-    assert [drift.promote(x) for x in ({"null"}, {"null", "number"}, {"number", "string"}, {"array"})] == ["null", "number", "text", "array"]
+    assert [drift.promote(*x) for x in ({"null"}, {"null", "number"}, {"number", "string"}, {"array"})] == ["null", "number", "text", "array"]

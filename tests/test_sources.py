@@ -18,6 +18,20 @@ def test_promotion():
     assert [drifting.promote(*p) for p in (("int", "bigint"), ("bigint", "float"), ("void", "date"), ("date", "timestamp_ntz"), ("boolean", "int"))] == ["bigint", "double", "date", "timestamp_ntz", "string"]
 
 
+def test_promotion_of_nested_types():
+    pairs = [("struct<a:int,b:string>", "struct<a:bigint,c:date>"), ("array<int>", "array<double>"), ("decimal(10,2)", "decimal(8,4)"), ("struct<a:int>", "array<int>"), ("map<string,int>", "map<string,bigint>")]
+    assert [drifting.promote(*p) for p in pairs] == ["struct<a:bigint,b:string,c:date>", "array<double>", "decimal(12,4)", "string", "map<string,bigint>"]
+
+
+def test_structs_merge(spark, tmp_path):
+    for n, sql in enumerate(("select 1 as k, named_struct('a', 1, 'b', 'x') as s", "select 2 as k, named_struct('a', 5000000000L, 'c', true) as s", "select 3 as k, cast(null as struct<a: int>) as s")):
+        spark.sql(sql).coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    paths = drifting.listed(spark, str(tmp_path))
+    assert len(paths) == 3
+    got = {r.k: None if r.s is None else tuple(r.s) for r in drifting.read(spark, paths).collect()}
+    assert got == {1: (1, "x", None), 2: (5000000000, None, True), 3: None}
+
+
 def test_measurements(spark, tmp_path):
     head = f"{sidecars.MAGIC}\n{','.join(sidecars.HEADER)}\n"
     (tmp_path / "a.csv").write_text(head + "t1,1,2,3,4\nt2,1,-2,3,4\nt3,1,2,3,4\nt3,1,2,3,4\nt4,NaN,1,1,1\nt5,1,1\n")
