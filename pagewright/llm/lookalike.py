@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PARTS = 8  #: parts in which the pairs of a class are made
+
 # Letters that share one shape, as written (other script, then Latin).
 CYRILLIC = "аa еe оo рp сc уy хx іi ѕs јj ԁd һh ԛq ԝw АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԌG ԚQ ԜW"
 GREEK = "οo ϲc ϳj ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ"
@@ -233,9 +235,13 @@ def canonical(df: DataFrame, columns: list[str], table: Tables) -> DataFrame:
     return df.mapInArrow(rewrite, df.schema)
 
 
+PRINTS = "field int, i string, f1 long, f2 long, r1 long, r2 long"
+
+
 def fingerprints(df: DataFrame, group: str, ident: str, fields: list[str], table: Tables, least: int) -> DataFrame:
-    """(field, group, ident, form, raw): 128-bit hashes of the canonical form and of the characters of every value with at
-    least `least` characters; null groups and idents are left out."""
+    """(field, i, f1, f2, r1, r2): of every value with at least `least` characters 128-bit hashes, as two numbers, of its group with its
+    canonical form and of its characters; `field` is the place in `fields`. Null groups and idents are left out. Rows that arrived twice
+    are one row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -244,27 +250,38 @@ def fingerprints(df: DataFrame, group: str, ident: str, fields: list[str], table
         change = rewriter(table)
         for batch in batches:
             groups, ids = batch.column("g").to_pylist(), batch.column("i").to_pylist()
-            for f in fields:
-                out: list[tuple[Any, ...]] = []
+            for n, f in enumerate(fields):
+                who: list[str] = []
+                made: list[bytes] = []
                 for g, i, t in zip(groups, ids, batch.column(f).to_pylist(), strict=True):
                     if t is not None and len(t) >= least:
-                        out.append((f, g, i, digest(change(t)), digest(t)))
-                if out:
-                    kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["field", "g", "i", "form", "raw"])
+                        who.append(i)
+                        made += [digest(f"{g}\x00{change(t)}".encode("utf-8", "surrogatepass")), digest(t)]
+                if who:
+                    h = np.frombuffer(b"".join(made), np.int64).reshape(-1, 4)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), n, np.int32)), pa.array(who, pa.string()), *(pa.array(np.ascontiguousarray(h[:, k])) for k in range(4))], names=["field", "i", "f1", "f2", "r1", "r2"])
 
     narrow = df.selectExpr(f"`{group}` as g", f"`{ident}` as i", *(f"`{f}`" for f in fields)).where("g is not null and i is not null")
-    return narrow.mapInArrow(run, "field string, g string, i string, form binary, raw binary")
+    return narrow.mapInArrow(run, PRINTS).groupBy("field", "i").agg(*[F.max(c).alias(c) for c in ("f1", "f2", "r1", "r2")])
+
+
+def look_classes(df: DataFrame, group: str, ident: str, fields: list[str], table: Tables, least: int = 40, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """As `fingerprints`, the values of classes with at least two spellings: values of one group that look the same have the same f1 and
+    f2, those of one spelling also r1 and r2. Exact copies alone are no class. `keep` cuts the lineage of the fingerprints."""
+    seen = keep(fingerprints(df, group, ident, fields, table, least))
+    mixed = seen.groupBy("field", "f1", "f2").agg(F.min("r1").alias("a"), F.max("r1").alias("b"), F.min("r2").alias("c"), F.max("r2").alias("d")).where("a <> b or c <> d").select("field", "f1", "f2")
+    return seen.join(mixed, ["field", "f1", "f2"], "left_semi")
 
 
-def same_look(df: DataFrame, group: str, ident: str, fields: list[str], table: Tables, least: int = 40) -> DataFrame:
+def same_look(df: DataFrame, group: str, ident: str, fields: list[str], table: Tables, least: int = 40, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """(field, page_a, page_b): pairs of one group whose values look the same but differ in characters.
 
-    Only classes with at least two spellings are joined, and the classes are first cut down to those by a pre-aggregated
-    count, so exact copies alone never meet. A row that arrived twice counts once. Empty tables give no rows.
+    Only classes with at least two spellings are joined. The pairs of a class are made in `PARTS` tasks, as one page may have been scanned
+    very often. A row that arrived twice counts once. Empty tables give no rows.
     """
-    seen = fingerprints(df, group, ident, fields, table, least).dropDuplicates(["field", "i"])
-    mixed = seen.groupBy("field", "g", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "g", "form")
-    left = seen.join(mixed, ["field", "g", "form"])
-    right = left.select("field", "g", "form", F.col("i").alias("page_b"), F.col("raw").alias("raw_b"))
-    return left.join(right, ["field", "g", "form"]).where("i < page_b and raw <> raw_b").select("field", F.col("i").alias("page_a"), "page_b")
+    classes = look_classes(df, group, ident, fields, table, least, keep)
+    names = F.create_map(*[F.lit(x) for n, f in enumerate(fields) for x in (n, f)])
+    left = classes.withColumn("part", F.pmod(F.hash("i"), F.lit(PARTS)))
+    right = classes.select("field", "f1", "f2", F.col("i").alias("page_b"), F.col("r1").alias("s1"), F.col("r2").alias("s2"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    met = left.join(right, ["field", "f1", "f2", "part"]).where("i < page_b and (r1 <> s1 or r2 <> s2)")
+    return met.select(names[F.col("field")].alias("field"), F.col("i").alias("page_a"), "page_b")

@@ -18,7 +18,19 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pages = spread(table(spark, d, "pages").select("page_id", "book_id", *FIELDS))
-    return lookalike.same_look(pages, "book_id", "page_id", FIELDS, lookalike.corpus_table(pages, FIELDS))
+    return lookalike.same_look(pages, "book_id", "page_id", FIELDS, lookalike.corpus_table(pages, FIELDS), keep=cut)
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every value that has another spelling in its book, with its class, its spelling, and the number of values linked to it."""
+    pages = spread(table(spark, d, "pages").select("page_id", "book_id", *FIELDS))
+    c = lookalike.look_classes(pages, "book_id", "page_id", FIELDS, lookalike.corpus_table(pages, FIELDS), keep=cut)
+    spellings = c.groupBy("field", "f1", "f2", "r1", "r2").agg(F.count("*").alias("same"))
+    sizes = spellings.groupBy("field", "f1", "f2").agg(F.sum("same").alias("all"))
+    met = c.join(spellings, ["field", "f1", "f2", "r1", "r2"]).join(sizes, ["field", "f1", "f2"])
+    name = F.when(F.col("field") == 0, FIELDS[0]).otherwise(FIELDS[1])
+    code = lambda a, b: F.concat(F.lpad(F.lower(F.hex(a)), 16, "0"), F.lpad(F.lower(F.hex(b)), 16, "0"))
+    return met.select(name.alias("field"), F.col("i").alias("page_id"), code("f1", "f2").alias("class"), code("r1", "r2").alias("spelling"), (F.col("all") - F.col("same")).alias("links"))
 
 
 def p2_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -57,8 +69,8 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
-    """Texts decoded from their ids again, with the number of ids."""
-    return tokens.decode_column(p6_ids(spark, d), "ids", "text").select("doc_id", F.size("ids").alias("n_ids"), "text")
+    """Texts decoded from their ids again."""
+    return tokens.decode_column(p6_ids(spark, d), "ids", "text").select("doc_id", "text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +91,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_shares(documents(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_texts, p3_found, p3_texts, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p7_changed, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_classes, p2_texts, p3_found, p3_texts, p5_found, p5_texts, p6_ids, p6_decoded, p7_found, p7_changed, p8_found, p8_shares)}
 SQL = {
-    # decoding restores the text; a text's bytes bound its number of ids from above, so only the texts are compared here
+    # decoding gives every text back, an empty one for null
+    "p6_decoded": "select doc_id, coalesce(text, '') as text from documents",
 }
