@@ -50,18 +50,15 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(once_wide(table(spark, d, "pages").select(*columns), KEYS["pages"]), cut)
 
 
-def p5_pages(spark: SparkSession, d: str) -> DataFrame:
-    return once_wide(table(spark, d, "pages").select("page_id", "book_id", "text"), KEYS["pages"])
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated.frequent_lines(p5_pages(spark, d)).select("page_id", "line_no")
+    pages = spread(table(spark, d, "pages").select("page_id", "book_id", "text"))
+    return repeated.frequent_lines(pages, keep=cut).select("page_id", "line_no")
 
 
 def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every page's text without the lines excessive in its book."""
-    pages = p5_pages(spark, d)
-    return repeated.without_lines(pages, repeated.frequent_lines(pages))
+    pages = table(spark, d, "pages").select("page_id", "book_id", "text")
+    return repeated.without_lines(once_wide(pages, KEYS["pages"]), repeated.frequent_lines(pages, keep=cut))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

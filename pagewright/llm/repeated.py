@@ -9,7 +9,7 @@ salted, because one book, and one line in it, may hold a third of all rows.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -64,14 +64,14 @@ def hashed_lines(pages: DataFrame) -> DataFrame:
     return pages.select("book_id", "page_id", "text").mapInArrow(run, "book_id string, page_id string, line_no int, key long")
 
 
-def frequent_lines(pages: DataFrame, least_pages: int = 5, share: float = 0.2) -> DataFrame:
+def frequent_lines(pages: DataFrame, least_pages: int = 5, share: float = 0.2, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """(book_id, page_id, line_no) of lines whose like stands on at least `least_pages` pages and on a `share` of the book's
-    pages with non-empty text. Rows of `pages` are unique by page_id. Null and empty texts have no lines; a null book is a book of
-    its own; lines without a letter never count."""
-    lines = hashed_lines(pages)
-    # pages of a line: one page's repeats are dropped in the task that made them, so this needs no distinct over pages
+    pages with non-empty text. Rows of one page_id are one page, however often they arrived. Null and empty texts have no lines; a null
+    book is a book of its own; lines without a letter never count. `keep` cuts the lineage of the hashed lines, which are read twice;
+    texts are read once and never shuffled."""
+    lines = keep(hashed_lines(pages))
     counted = lines.groupBy("book_id", "key", "page_id").agg(F.lit(1).alias("one")).groupBy("book_id", "key").agg(F.count("*").alias("n"))
-    sizes = pages.where("text <> ''").groupBy("book_id").agg(F.count("*").alias("pages"))
+    sizes = pages.where("text <> ''").select("book_id", "page_id").distinct().groupBy("book_id").agg(F.count("*").alias("pages"))
     frequent = (
         counted.where(F.col("n") >= least_pages)
         .join(sizes, counted["book_id"].eqNullSafe(sizes["book_id"]))
@@ -79,7 +79,8 @@ def frequent_lines(pages: DataFrame, least_pages: int = 5, share: float = 0.2) -
         .select(counted["book_id"].alias("b"), F.col("key").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
     )
     salted = lines.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALT)))
-    return salted.join(frequent, salted["book_id"].eqNullSafe(frequent["b"]) & (salted["key"] == frequent["k"]) & (salted["salt"] == frequent["s"])).select("book_id", "page_id", "line_no")
+    met = salted.join(frequent, salted["book_id"].eqNullSafe(frequent["b"]) & (salted["key"] == frequent["k"]) & (salted["salt"] == frequent["s"]))
+    return met.select("book_id", "page_id", "line_no").distinct()
 
 
 def without_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
