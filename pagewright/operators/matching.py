@@ -38,8 +38,17 @@ def _by_row(df: DataFrame, by: str, left: str, right: str, match: Callable[[list
     return df.selectExpr(f"`{by}` as k", f"`{left}` as a", f"`{right}` as b").mapInArrow(run, schema)
 
 
+def _near(a: list | None, b: list | None, least: float = 0.3) -> bool:
+    """Whether two boxes have at least `least` of the smaller one in common; a box that isn't known is near to all."""
+    if not a or not b or None in a or None in b or not (a[0] < a[2] and a[1] < a[3] and b[0] < b[2] and b[1] < b[3]):
+        return True
+    met = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    return met >= least * min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+
+
 def best_matches(df: DataFrame, by: str, left: str, right: str, least: float = 0.92, margin: float = 0.04) -> DataFrame:
     """(by, line_no, match_no, score): for each row, the string of the array `right` that each string of the array `left` matches best.
+    Elements may also be (text, bbox); then boxes that are known must have 0.3 of the smaller one in common.
 
     Lengths may differ by the greater of 2 and 12 %; the best score must reach `least` and be `margin` above the next; otherwise a
     string has no row. Null and empty strings match nothing; null arrays are empty. Rows aren't shuffled.
@@ -47,11 +56,13 @@ def best_matches(df: DataFrame, by: str, left: str, right: str, least: float = 0
 
     def match(a: list, b: list) -> list[tuple]:
         out = []
-        theirs = [(n, t) for n, t in enumerate(b) if t]
-        for n, t in enumerate(a):
+        said = lambda x: (x["text"], x["bbox"]) if isinstance(x, dict) else (x, None)
+        theirs = [(n, *said(t)) for n, t in enumerate(b) if said(t)[0]]
+        for n, x in enumerate(a):
+            t, box = said(x)
             if not t:
                 continue
-            near = [(m, u) for m, u in theirs if abs(len(u) - len(t)) <= max(2, 0.12 * max(len(t), len(u)))]
+            near = [(m, u) for m, u, o in theirs if abs(len(u) - len(t)) <= max(2, 0.12 * max(len(t), len(u))) and _near(box, o)]
             scores = sorted(((1.0 if t == u else _upper(t, u, least - margin)), -m) for m, u in near)
             if scores and scores[-1][0] >= least and (len(scores) == 1 or scores[-1][0] - scores[-2][0] >= margin):
                 out.append((n, -scores[-1][1], round(scores[-1][0], 6)))

@@ -268,6 +268,7 @@ def jon19_fuzzy_best(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def jon20_anchored(s: SparkSession, d: str) -> DataFrame:
+    """Lines of the kept text against lines of the first reading, in order."""
     return M.anchored(_readings(s, d), "page_id", "a", "b")
 
 
@@ -426,7 +427,7 @@ def set07_exact_copies(s: SparkSession, d: str) -> DataFrame:
 # --- scalar functions --------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(r"""select doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: case c when '\' then '\textbackslash{}' when '&' then '\&' when '%' then '\%' when '$' then '\$' when '#' then '\#' when '_' then '\_' when '{' then '\{' when '}' then '\}' when '~' then '\textasciitilde{}' when '^' then '\textasciicircum{}' else c end), '') as tex from documents""")
 def str01_escape(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.escape_tex(F.col("text")).alias("tex"))
 
@@ -441,7 +442,7 @@ def str11_byte_sizes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.length("text").cast("bigint").alias("chars"), (F.octet_length("text") > 400).alias("longer"))
 
 
-@query()
+@query("select doc_id, case when text is not null then substr(text, 1, coalesce(list_max(list_filter(range(0, 401), lambda n: octet_length(encode(substr(text, 1, n))) <= 400)), 0)) end as head from documents")
 def str11_byte_prefix(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select("doc_id", T.utf8_prefix(F.col("text"), 400).alias("head"))
 

@@ -423,3 +423,93 @@ def snk14_insert_select(s: SparkSession, d: str) -> DataFrame:
     a = attempts(s, d).groupBy("book_id", F.col("page_number").alias("number")).agg(F.max("attempt").alias("last"), F.max("returned").alias("got"))
     p = pages(s, d, "book_id", "number", "status").where("status = 'failed'").join(a, ["book_id", "number"], "left").where("last is null or last < 3")
     return p.select("page_id", "book_id", F.when(F.coalesce("got", F.lit(0)) == 1, "again").otherwise("new").alias("state"))
+
+
+# --- matching of placed lines, iteration --------------------------------------------------------------------------------
+
+
+def placed_lines(s: SparkSession, d: str) -> DataFrame:
+    """Per page the lines (text, bbox) of its blocks and of its first reading, and the boxes of its regions from top to bottom."""
+    block = "array<struct<lines: array<struct<spans: array<struct<text: string>>, bbox: array<double>>>>>"
+    lines = lambda c: F.flatten(F.transform(F.filter(c, lambda b: b["lines"].isNotNull()), lambda b: F.transform(b["lines"], lambda x: F.struct(F.array_join(F.transform(x["spans"], lambda y: y["text"]), "").alias("text"), x["bbox"].alias("bbox")))))
+    own, first = F.from_json(valid("blocks_json", "["), block), F.from_json(F.get_json_object(valid("extraction_json", "{"), "$.blocks"), block)
+    regions = F.from_json(F.get_json_object(valid("layout_source_json", "{"), "$.regions"), "array<struct<bbox: array<double>>>")
+    bands = F.array_sort(F.transform(F.filter(regions, lambda r: F.size(r["bbox"]) == 4), lambda r: F.struct(F.get(r["bbox"], F.lit(1)).alias("y"), r["bbox"].alias("b"))))
+    return pages(s, d, "blocks_json", "extraction_json", "layout_source_json").select("page_id", lines(own).alias("a"), lines(first).alias("b"), F.transform(bands, lambda x: x["b"]).alias("bands"))
+
+
+@query()
+def jon19_placed(s: SparkSession, d: str) -> DataFrame:
+    """The line of the first reading that each placed line matches best: length, similarity, lead, and boxes that have 0.3 in common."""
+    return M.best_matches(placed_lines(s, d), "page_id", "a", "b")
+
+
+@query()
+def jon20_bands(s: SparkSession, d: str) -> DataFrame:
+    """Lines assigned to the bands of their page by the score of their boxes, in order; gaps of equal length filled."""
+    p = placed_lines(s, d).select("page_id", F.transform("a", lambda x: x["bbox"]).alias("a"), "bands")
+    return M.assigned_bands(p, "page_id", "a", "bands")
+
+
+@query()
+def itr06_solved_layout(s: SparkSession, d: str) -> DataFrame:
+    """A page's layout solved in steps: lines matched by their text, others assigned to bands; how many of its lines each step settles."""
+    p = placed_lines(s, d)
+    matched = M.best_matches(p, "page_id", "a", "b").select("page_id", "line_no", F.lit("text").alias("how"))
+    bands = M.assigned_bands(p.select("page_id", F.transform("a", lambda x: x["bbox"]).alias("a"), "bands"), "page_id", "a", "bands")
+    rest = bands.join(matched, ["page_id", "line_no"], "left_anti").select("page_id", "line_no", F.lit("band").alias("how"))
+    settled = matched.union(rest).groupBy("page_id").agg(F.count_if(F.col("how") == "text").alias("by_text"), F.count_if(F.col("how") == "band").alias("by_band"))
+    whole = p.select("page_id", F.size("a").cast("bigint").alias("lines")).where("lines > 0")
+    return whole.join(settled, "page_id", "left").fillna(0).select("page_id", "lines", "by_text", "by_band", (F.col("lines") - F.col("by_text") - F.col("by_band")).alias("open"))
+
+
+_TRY = """, b as (select page_id, region_id, x0, x1, x1 - x0 as w from box where x0 < x1 and region_id is not null), n as (select *, case when w <= 0.8 and round(abs(least(greatest(x0, 0.1), 0.9 - w) - x0), 9) <= 0.05 then least(greatest(x0, 0.1), 0.9 - w) else x0 end as nx from b),
+ p as (select page_id, region_id, round(0.1 - x0, 9) > 0 or round(x1 - 0.9, 9) > 0 as was, round(0.1 - nx, 9) > 0 or round(nx + w - 0.9, 9) > 0 as now from n)
+"""
+
+
+@query(_TRY + "select page_id, count(*) filter (was) as before, count(*) filter (now) as after, count(*) filter (now) < count(*) filter (was) and count(*) filter (now and not was) = 0 as accepted from p group by page_id")
+def itr03_accepted(s: SparkSession, d: str) -> DataFrame:
+    """A candidate layout (boxes nudged into their frame) taken only if it has strictly fewer problems and none that is new."""
+    w = F.col("x1") - F.col("x0")
+    into = F.least(F.greatest("x0", F.lit(0.1)), 0.9 - w)
+    nx = F.when((w <= 0.8) & (F.round(F.abs(into - F.col("x0")), 9) <= 0.05), into).otherwise(F.col("x0"))
+    out = lambda a, b: (F.round(0.1 - a, 9) > 0) | (F.round(b - 0.9, 9) > 0)
+    n = boxes(s, d).where("x0 < x1 and region_id is not null").withColumn("nx", nx)
+    p = n.select("page_id", out(F.col("x0"), F.col("x1")).alias("was"), out(F.col("nx"), F.col("nx") + w).alias("now"))
+    c = p.groupBy("page_id").agg(F.count_if("was").alias("before"), F.count_if("now").alias("after"), F.count_if(F.col("now") & ~F.col("was")).alias("new"))
+    return c.select("page_id", "before", "after", ((F.col("after") < F.col("before")) & (F.col("new") == 0)).alias("accepted"))
+
+
+@query("""select book_id, number, place from (select pg.book_id, pg.number, row_number() over (partition by pg.book_id order by pg.manual_protected, pg.number) as place from pg where pg.result_status = 'failed' and not exists (select 1 from at_ where at_.book_id = pg.book_id and at_.page_number = pg.number and at_.attempt >= 3)) where place <= 3""")
+def itr04_targets(s: SparkSession, d: str) -> DataFrame:
+    """Up to three targets of each book that weren't tried often yet; the planner cuts each group to three before the shuffle."""
+    tried = attempts(s, d).where("attempt >= 3").select("book_id", F.col("page_number").alias("number")).distinct()
+    p = pages(s, d, "book_id", "number", "result_status", "manual_protected").where("result_status = 'failed'").join(tried, ["book_id", "number"], "left_anti")
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("book_id").orderBy("manual_protected", "number")).cast("bigint")).where("place <= 3").select("book_id", "number", "place")
+
+
+@query(""", up as (select book_id, id as node, id as above, parent_id from fl union all select up.book_id, up.node, f.id, f.parent_id from up join fl f on f.book_id = up.book_id and f.id = up.parent_id)
+ select book_id, node, above from up""")
+def itr05_closure(s: SparkSession, d: str) -> DataFrame:
+    """Every file with all that is above it, and itself."""
+    t = R.paths(files(s, d), "id", "parent_id", ["book_id"], "id")
+    return t.select("book_id", "node", F.explode(F.split("path", "/")).alias("above"))
+
+
+@query(""", gone as (select page_id, region_id from box where ord = 0), kept as (select page_id, region_id, parent_id, row_number() over (partition by page_id order by ord, region_id) - 1 as place from box b where ord > 0)
+ select k.page_id, k.region_id, k.place, case when exists (select 1 from gone g where g.page_id = k.page_id and g.region_id = k.parent_id) then null else k.parent_id end as parent_id from kept k""")
+def arr08_remove_and_cascade(s: SparkSession, d: str) -> DataFrame:
+    """The first element of each page taken out: the others are renumbered, and what named it as parent loses that."""
+    b = boxes(s, d)
+    gone = b.where("ord = 0").select("page_id", F.col("region_id").alias("parent_id"), F.lit(True).alias("gone")).distinct()
+    place = (F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "region_id")) - 1).cast("bigint")
+    kept = b.where("ord > 0").select("page_id", "region_id", "parent_id", place.alias("place"))
+    return kept.join(gone, ["page_id", "parent_id"], "left").select("page_id", "region_id", "place", F.when(F.col("gone").isNull(), F.col("parent_id")).alias("parent_id"))
+
+
+@query("""select id, case position % 3 when 0 then false else true end as inside from fl""")
+def src15_contained(s: SparkSession, d: str) -> DataFrame:
+    """Whether a saved path stays in its folder, told before anything is opened. Every third path is made to leave it."""
+    path = F.when(F.col("position") % 3 == 0, F.concat(F.lit("a/../../"), "filename")).when(F.col("position") % 3 == 1, F.concat(F.lit("a/../"), "filename")).otherwise(F.concat(F.lit("./b/"), "filename"))
+    return records.contained(files(s, d).select("id", path.alias("path")), "path", "/srv").select("id", "inside")

@@ -29,14 +29,16 @@ def measurements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def log_warnings(log: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc, page_id, line_no, kind, amount) of warnings in compiler logs. `log`: doc, line; `pages`: doc, page_id, start_line. A source
-    line belongs to the page with the greatest start at or before it."""
+    """(doc, page_id, line_no, kind, box, amount) of warnings in compiler logs, for widths (box h) and heights (box v). `log`: doc, line;
+    `pages`: doc, page_id, start_line. A source line belongs to the page with the greatest start at or before it; a warning without a line,
+    or before all pages, belongs to the page of its document if there is only one."""
     from pagewright.operators.relational import as_of
 
-    over = r"^(Overfull|Underfull) \\hbox \((?:([0-9.]+)pt too wide|badness ([0-9]+))\).*lines? ([0-9]+)"
+    over = r"^(Overfull|Underfull) \\([hv])box \((?:([0-9.]+)pt too (?:wide|high)|badness ([0-9]+))\)"
+    part = lambda n: F.regexp_extract("line", over, n)
     found = log.where(F.col("line").rlike(over)).select(
-        "doc", F.regexp_extract("line", over, 4).cast("int").alias("at"), F.lower(F.regexp_extract("line", over, 1)).alias("kind"),
-        F.coalesce(F.regexp_extract("line", over, 2).try_cast("double"), F.regexp_extract("line", over, 3).try_cast("double")).alias("amount"),
-    )
-    met = as_of(found, pages.select("doc", F.col("start_line").alias("at"), "page_id"), ["doc"], "at", ["page_id"])
-    return met.select("doc", F.col("last_page_id").alias("page_id"), F.col("at").alias("line_no"), "kind", "amount")
+        "doc", F.nullif(F.regexp_extract("line", "lines? ([0-9]+)", 1), F.lit("")).cast("int").alias("at"), F.lower(part(1)).alias("kind"), part(2).alias("box"), F.coalesce(part(3).try_cast("double"), part(4).try_cast("double")).alias("amount")
+    )
+    only = pages.groupBy("doc").agg(F.count("*").alias("_n"), F.min("page_id").alias("_only")).where("_n = 1").drop("_n")
+    met = as_of(found, pages.select("doc", F.col("start_line").alias("at"), "page_id"), ["doc"], "at", ["page_id"]).join(only, "doc", "left")
+    return met.select("doc", F.coalesce("last_page_id", "_only").alias("page_id"), F.col("at").alias("line_no"), "kind", "box", "amount")

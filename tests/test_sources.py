@@ -44,4 +44,8 @@ def test_measurements(spark, tmp_path):
 def test_log_lines_meet_their_page(spark):
     log = spark.createDataFrame([("d", r"Overfull \hbox (12.5pt too wide) in paragraph at lines 40--41"), ("d", r"Underfull \hbox (badness 10000) detected at line 3"), ("d", "noise")], "doc string, line string")
     pages = spark.createDataFrame([("d", "p1", 10), ("d", "p2", 40)], "doc string, page_id string, start_line int")
-    assert sorted(tuple(r)[1:] for r in sidecars.log_warnings(log, pages).collect() if r.page_id) == [("p2", 40, "overfull", 12.5)]
+    assert sorted(tuple(r)[1:] for r in sidecars.log_warnings(log, pages).collect() if r.page_id) == [("p2", 40, "overfull", "h", 12.5)]
+    tall = spark.createDataFrame([("d", r"Overfull \vbox (3.0pt too high) has occurred while \output is active")], "doc string, line string")
+    assert [r.page_id for r in sidecars.log_warnings(tall, pages).collect()] == [None]
+    got = sidecars.log_warnings(tall, pages.where("page_id = 'p1'")).first()
+    assert (got.page_id, got.line_no, got.box, got.amount) == ("p1", None, "v", 3.0)
