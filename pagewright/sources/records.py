@@ -36,14 +36,12 @@ def load_versioned(spark: SparkSession, path: str, now: DataFrame) -> DataFrame:
 
 
 def contained(paths: DataFrame, column: str, root: str) -> DataFrame:
-    """Rows with `inside`: whether a path stays in the folder `root` after its `.` and `..` are followed; null stays null. Nothing is opened."""
-    parts = F.filter(F.split(F.replace(F.col(column), F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
-    depth = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("low")),
-        lambda a, x: F.struct((a["n"] + F.when(x == "..", -1).otherwise(1)).alias("n"), F.least(a["low"], a["n"] + F.when(x == "..", -1).otherwise(1)).alias("low")),
-        lambda a: a["low"],
-    )
-    absolute = F.col(column).rlike(r"^([A-Za-z]:|[\\/])") & ~F.col(column).startswith(root.rstrip("/") + "/")
-    own = F.when(F.col(column).startswith(root.rstrip("/") + "/"), depth >= 0).otherwise(depth >= 0)
-    return paths.withColumn("inside", F.when(F.col(column).isNotNull(), ~absolute & own & (F.size(parts) > 0)))
+    """Rows with `inside`: whether a path, relative or absolute, stays in the folder `root` after its `.` and `..` are followed; an empty one
+    doesn't, null stays null. Nothing is opened."""
+    base, path = root.rstrip("/") + "/", F.replace(F.col(column), F.lit("\\"), F.lit("/"))
+    own = F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
+    parts = F.filter(F.split(own, "/"), lambda x: (x != "") & (x != "."))
+    step = lambda x: F.when(x == "..", -1).otherwise(1)
+    low = F.aggregate(parts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("low")), lambda a, x: F.struct((a["n"] + step(x)).alias("n"), F.least(a["low"], a["n"] + step(x)).alias("low")), lambda a: a["low"])
+    inside = ~own.rlike("^([A-Za-z]:|/)") & (low >= 0) & (F.size(parts) > 0)
+    return paths.withColumn("inside", F.when(F.col(column).isNotNull(), inside))
