@@ -21,7 +21,6 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame

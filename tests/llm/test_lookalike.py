@@ -61,3 +61,14 @@ def test_strata_keep_their_punctuation(spark):
     tables = L.corpus_table(df, ["text"])
     change = L.rewriter(tables)
     assert change("a， b") == "a, b" and change("水,山") == "水，山"
+
+
+def test_classes_with_links(spark):
+    text = "The northern lighthouse records the quarry of a village, No. 7"
+    rows = [("a", "b", text, None), ("b", "b", text, ""), ("c", "b", text.replace("a", "а"), None), ("d", "b", text + "!", None), ("e", "other", text.replace("a", "а"), None), ("f", None, text, None), ("c", "b", text.replace("a", "а"), None)]
+    df = spark.createDataFrame(rows, "page_id string, book_id string, text string, extraction_text string")
+    fields = ["text", "extraction_text"]
+    got = L.look_classes(df, "book_id", "page_id", fields, L.corpus_table(df, fields)).collect()
+    assert {r.i for r in got} == {"a", "b", "c"} and len(got) == 3 and len({(r.f1, r.f2) for r in got}) == 1 and len({(r.r1, r.r2) for r in got}) == 2
+    pairs = {tuple(r) for r in L.same_look(df, "book_id", "page_id", fields, L.corpus_table(df, fields)).collect()}
+    assert pairs == {("text", "a", "c"), ("text", "b", "c")}

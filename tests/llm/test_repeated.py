@@ -38,3 +38,12 @@ def test_what_makes_lines_alike():
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert R.frequent_lines(df).count() == 0
+
+
+def test_rows_that_arrive_twice_count_once(spark):
+    rows = [(f"p{i}", "b", f"body {'abcdefghij'[i]}\nTHE TITLE {i}" if i < 5 else f"body {'abcdefghij'[i] * 3}", "x") for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(f"p{i}", 1) for i in range(5)}
+    for d in (df, df.union(df), df.union(df.limit(4))):
+        got = [(r.page_id, r.line_no) for r in R.frequent_lines(d).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
