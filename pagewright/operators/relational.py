@@ -83,10 +83,10 @@ def nearest_above(nodes: DataFrame, ident: str, parent: str, scope: list[str], g
     return _climbed(start, scope).join(n.where("good").select(*scope, F.col("node").alias("at")), [*scope, "at"]).select(*scope, "node", F.col("at").alias("found"), "depth")
 
 
-def page_of(df: DataFrame, by: list[str], order: list[Column], size: int) -> DataFrame:
-    """Offset pagination of every group at once: `page_no` and `row_no` (from 0) in a total order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w) - 1).withColumn("page_no", F.expr(f"_n div {size}")).withColumn("row_no", F.col("_n").cast("bigint")).drop("_n")
+def page_of(df: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
+    """Offset pagination of every group at once: `page_no` and `row_no` (from 0) in a total order; no group is one task's."""
+    n = prefix_sums(df, by, order, F.lit(1))
+    return n.select(*[n[c] for c in df.columns], F.expr(f"before div {size}").alias("page_no"), F.col("before").alias("row_no"))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,9 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import text as T
 from pagewright.operators import relational as R
-from pagewright.plans.reference import attempts, books, boxes, files, items, pages, query, rnd, segments
+from pagewright.plans.reference import books, files, pages, query
 
 #: Elements of blocks_json, where it is an array; valid layouts.
 BLK = """, blk as (select page_id, cast(je.key as bigint) as ord, je.value as b from pg, json_each(case when json_valid(blocks_json) and json_type(blocks_json) = 'ARRAY' then blocks_json end) je where json_type(je.value) = 'OBJECT')

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.operators import drift, shred
-from pagewright.session import checkpoint_dir
+from pagewright.session import scratch
 from pagewright.sources import drifting
 from pagewright.sources.tables import KEYS, once_wide, table
 
@@ -64,7 +62,7 @@ def p1_files(spark: SparkSession, d: str) -> DataFrame:
     """Settings as files whose headers drift: the records of each copy (file_no) are written with a column for each field that they hold,
     of its type there, and the files are read again as one table through their headers."""
     records = once_wide(table(spark, d, "settings").selectExpr("install_id", "file_no", "value as json"), KEYS["settings"])
-    folder = f"{checkpoint_dir(spark)}/drift-{uuid.uuid4().hex}"
+    folder = scratch(spark, "drift")
     copies = [r.file_no for r in records.select("file_no").distinct().orderBy("file_no").collect()]  # as many as releases wrote copies
     for n in copies:
         some = records.where(F.col("file_no") == n)

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import text as T
 from pagewright.operators import geometry as G
 from pagewright.plans.content import LAY, get, layouts
 from pagewright.plans.reference import attempts, books, boxes, files, pages, query, rnd
-from pagewright.sources.tables import table
 
 # --- rollups ------------------------------------------------------------------------------------------------------------
 

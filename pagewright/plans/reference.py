@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
@@ -184,7 +184,7 @@ def jon01_pages_of_files(s: SparkSession, d: str) -> DataFrame:
 def jon04_listing(s: SparkSession, d: str) -> DataFrame:
     f = files(s, d).select("book_id", F.col("id").alias("source_id"), F.col("position").alias("file_position"))
     joined = pages(s, d, "book_id", "number", "source_id", "source_page").join(f, ["book_id", "source_id"])
-    return R.page_of(joined, ["book_id"], [F.col("file_position").asc(), F.col("source_page").asc(), F.col("number").asc()], 50).select("page_id", "page_no", "row_no")
+    return R.page_of(joined, ["book_id"], ["file_position", "source_page", "number"], 50).select("page_id", "page_no", "row_no")
 
 
 @query("""select pg.page_id, a.attempt, a.returned, a.total_tokens from pg join (select *, row_number() over (partition by book_id, page_number

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import scanners
@@ -14,7 +12,7 @@ from pagewright.operators import matching as M
 from pagewright.operators import relational as R
 from pagewright.plans.content import LAY, get, layouts, valid
 from pagewright.plans.reference import attempts, books, boxes, files, pages, query, rnd
-from pagewright.session import checkpoint_dir
+from pagewright.session import scratch
 from pagewright.sources import records
 from pagewright.sources.tables import table
 
@@ -359,7 +357,7 @@ def src07_orientation(s: SparkSession, d: str) -> DataFrame:
 @query("""select id, file_no, case when json_valid(layout_json) and json_type(layout_json) = 'OBJECT' then 'row' else 'error' end as outcome from bk""")
 def src19_failures_apart(s: SparkSession, d: str) -> DataFrame:
     """Records written as a file each and read again: a bad one gives an error row, the good ones stay."""
-    out = f"{checkpoint_dir(s)}/uploads-{uuid.uuid4().hex}"
+    out = scratch(s, "uploads")
     b = books(s, d).select("id", "file_no", F.coalesce("layout_json", F.lit("")).alias("layout_json"))
     b.select(F.to_json(F.struct("id", "file_no", "layout_json")).alias("value")).write.text(out)
     return records.isolated(s, out, "id string, file_no int, layout_json string", "layout_json").select("id", "file_no", "outcome")
@@ -368,7 +366,7 @@ def src19_failures_apart(s: SparkSession, d: str) -> DataFrame:
 @query("""select page_id, book_id, number, status from pg where selected = 1""")
 def snk02_atomic_json(s: SparkSession, d: str) -> DataFrame:
     """Rows exported as JSON and read again: the commit of the writing job makes all of them visible at once, or none."""
-    out = f"{checkpoint_dir(s)}/export-{uuid.uuid4().hex}"
+    out = scratch(s, "export")
     rows = pages(s, d, "book_id", "number", "status", "selected").where("selected = 1").select("page_id", "book_id", "number", "status")
     return records.exported(rows, out, "json")
 
@@ -396,7 +394,7 @@ def snk06_manifest(s: SparkSession, d: str) -> DataFrame:
 @query("""select 'page,' || page_id || ',' || coalesce(status, '') as line from pg where selected = 1""")
 def snk07_text_export(s: SparkSession, d: str) -> DataFrame:
     """Rows exported as lines of text and read again."""
-    out = f"{checkpoint_dir(s)}/export-{uuid.uuid4().hex}"
+    out = scratch(s, "export")
     rows = pages(s, d, "status", "selected").where("selected = 1").select(F.concat_ws(",", F.lit("page"), "page_id", F.coalesce("status", F.lit(""))).alias("value"))
     return records.exported(rows, out, "text").withColumnRenamed("value", "line")
 
@@ -410,7 +408,7 @@ def snk09_bounded_bodies(s: SparkSession, d: str) -> DataFrame:
 @query(LAY + """select page_id, coalesce(layout_schema_version, 0) as version, l->>'$.body_font_family' as family from lay where l is not null and layout_schema_version is not null and number % 5 <> 0""")
 def src14_versioned_cache(s: SparkSession, d: str) -> DataFrame:
     """Analyses saved beside their version and read again: those of pages that changed since are passed over."""
-    out = f"{checkpoint_dir(s)}/analysis-{uuid.uuid4().hex}"
+    out = scratch(s, "analysis")
     p = layouts(s, d, "layout_schema_version", "number").where("l is not null")
     records.save_versioned(p.select("page_id", F.col("layout_schema_version").alias("version"), F.col("l").alias("body")), out)
     now = p.select("page_id", F.when(F.col("number") % 5 == 0, -1).otherwise(F.col("layout_schema_version")).alias("version"))

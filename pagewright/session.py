@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="pagewright-checkpoint-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
     sc.setCheckpointDir(where)
 
 
@@ -47,13 +50,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in that folder; what is written there is removed when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return f"{folder}/rows"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written as a table in the checkpoint folder and read from there: cuts the lineage, survives lost executors
     and is smaller than a checkpoint of rows. The table is removed when the application ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
