@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -305,11 +305,14 @@ def least_met(words: list[str], kind: int, width: int, form: str, rows: list[tup
     unit = np.array([form[a] == "\x03" for a in at])
     over = max(int(((begin <= k) & (last >= k)).sum()) for k in range(len(words)))  # windows that one word can break
     ends = [_settled(text, e) if kind == PLAIN else e for e in starts]
+    # windows are in order: those of a passage are the ones from its first word on that end before its end, but for a unit at its begin
+    first = np.searchsorted(begin, np.arange(len(words)))
+    first = first + [n < len(at) and begin[n] == k and unit[n] for k, n in enumerate(first)]
+    upto = np.searchsorted(at + width, ends, "right")
     least = 1 << 30
     for size in range(max(1, sufficient(len(words))), len(words) + 1):
-        for k in range(len(words) - size + 1):
-            inside = (begin >= k) & ~((begin == k) & unit) & (at + width <= ends[k + size])
-            least = min(least, int(inside.sum()) - (size // 10) * over)
+        inside = np.maximum(upto[size:] - first[: len(words) - size + 1], 0)
+        least = min(least, int(inside.min()) - (size // 10) * over)
     return max(1, least)
 
 
@@ -536,16 +539,17 @@ def reparameterised(words: list[str], slots: set[int], first: int, flags: list[b
     return False
 
 
-def leaked(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", changed: bool = False) -> DataFrame:
+def leaked(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", changed: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
     """(doc_id, item_id) of documents with a sufficient passage of an item (`items`: item_id, text); each pair once. With `changed`,
     instead of those, documents in which half of an item stands with its numbers, names and units consistently changed.
 
     Null and empty texts, items without an id and items without a letter or digit give no rows; repeated rows of either table count
-    once, and rows of one id with different texts are searched apart. Whole documents are searched.
+    once, and rows of one id with different texts are searched apart. Whole documents are searched. `keep` cuts the lineage of the items'
+    windows, which are read three times.
     """
     narrow = documents.selectExpr(f"`{ident}` as ident", f"`{text}` as text", f"xxhash64(`{text}`) as sign").where("text <> ''")
     asked = items.selectExpr("cast(item_id as bigint) as item_id", "text as item").where("item_id is not null and item <> ''").distinct()
-    known = windows(asked, changed)
+    known = keep(windows(asked.repartition(documents.sparkSession.sparkContext.defaultParallelism), changed))
     groups = known.groupBy("kind", "width").agg(F.count("*").alias("n")).collect()  # a row for each kind and width
     kinds: dict[int, list[int]] = {}
     for r in sorted(groups):

@@ -71,12 +71,12 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(documents(spark, d), table(spark, d, "eval_items").select("item_id", "text"))
+    return leakage.leaked(documents(spark, d), table(spark, d, "eval_items").select("item_id", "text"), keep=cut)
 
 
 def p7_changed(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which half of an item stands with its numbers, names and units consistently changed (re-parameterised)."""
-    return leakage.leaked(documents(spark, d), table(spark, d, "eval_items").select("item_id", "text"), changed=True)
+    return leakage.leaked(documents(spark, d), table(spark, d, "eval_items").select("item_id", "text"), changed=True, keep=cut)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
