@@ -323,36 +323,43 @@ def training_words(right: DataFrame, most: int = TRAIN_WORDS) -> dict[str, int]:
 
 def join_model(words: dict[str, int], right: DataFrame | None = None, seed: int = 5, many: int = 6000) -> Boost:
     """Trees that tell words broken at a line's end from words that end there; fitted on `words`, broken at random, on compounds
-    broken at their own hyphen, and on neighbouring words. The parts' counts are those of `right` (without it, of `words`)."""
+    broken at their own hyphen, and on neighbouring words. The parts' counts are those of `right` (without it, of `words`).
+
+    Any word may end a line or begin one, so neighbours are words of every length: half of them as frequent as they are, half any words,
+    not counted themselves, as rare neighbours of a line's end often stand nowhere else."""
     rng = random.Random(seed)
     plain = sorted(w for w in words if w.isalpha() and len(w) >= 4 and not _CJK.search(w))
     compound = sorted(w for w in words if w.count("-") == 1 and all(len(x) > 1 for x in w.split("-")))
-    made: list[tuple[str, str, str, int]] = []
+    firsts = sorted(w for w in words if w[-1:].isalpha() and not _CJK.search(w))
+    seconds = sorted(w for w in words if w[:1].isalpha() and not _CJK.search(w))
+    made: list[tuple[str, str, str, int, int]] = []
     y: list[int] = []
     if plain:
         weights = [min(words[w], 200) for w in plain]
         for i, w in enumerate(rng.choices(plain, weights, k=many) + rng.choices(plain, k=many)):
             k = rng.randint(2, len(w) - 2)
-            made.append((w[:k], w[k:], rng.choice(["", "-", "-", "‐", "¬", "­"]), 1 if i >= many else 0))
+            made.append((w[:k], w[k:], rng.choice(["", "-", "-", "‐", "¬", "­"]), 1 if i >= many else 0, 0))
             y.append(1)
-        for a, b in zip(rng.choices(plain, weights, k=many), rng.choices(plain, weights, k=many), strict=True):
-            made.append((a, b, "", 0))
-            y.append(0)
+        often = [rng.choices(side, [words[w] for w in side], k=many) for side in (firsts, seconds)]
+        seldom = [rng.choices(side, k=many) for side in (firsts, seconds)]
+        made += [(a, b, "", 0, 0) for a, b in zip(*often, strict=True)] + [(a, b, "", 0, 1) for a, b in zip(*seldom, strict=True)]
+        y += [0] * (2 * many)
     if compound:
         for w in rng.choices(compound, [min(words[w], 200) for w in compound], k=many // 2):
             a, b = w.split("-")
-            made.append((a, b, rng.choice("-‐"), 0))
+            made.append((a, b, rng.choice("-‐"), 0, 0))
             y.append(0)
     known = words
     if right is not None:
-        asked = sorted({w for a, b, _, _ in made for w in (a + b, a, b, f"{a}-{b}")})
+        asked = sorted({w for a, b, *_ in made for w in (a + b, a, b, f"{a}-{b}")})
         known = {r.word: r.n for r in right.join(F.broadcast(right.sparkSession.createDataFrame([(w,) for w in asked] or [("",)], "word string")), "word").collect()}
-    return Boost().fit(np.array([pair_features(a, b, m, known, less) for a, b, m, less in made], float).reshape(-1, 8), np.array(y, float))
+    return Boost().fit(np.array([pair_features(a, b, m, known, *less) for a, b, m, *less in made], float).reshape(-1, 8), np.array(y, float))
 
 
-def pair_features(a: str, b: str, mark: str, known: dict[str, int], less: int) -> list[float]:
+def pair_features(a: str, b: str, mark: str, known: dict[str, int], less: int, parts_less: int = 0) -> list[float]:
+    """`less` and `parts_less`: places of the whole word and of each part that don't count."""
     lg = lambda w, k=0: float(np.log1p(max(0, known.get(w, 0) - k)))
-    return [lg(a + b, less), lg(a), lg(b), lg(f"{a}-{b}"), *_marked(a, b, mark)]
+    return [lg(a + b, less), lg(a, parts_less), lg(b, parts_less), lg(f"{a}-{b}"), *_marked(a, b, mark)]
 
 
 def _marked(a: str, b: str, mark: str) -> list[float]:

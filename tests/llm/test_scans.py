@@ -131,6 +131,24 @@ def test_bounds_hold_every_prediction():
         assert (least <= p + 1e-12).all() and (p <= most + 1e-12).all()
 
 
+def test_short_words_at_line_ends_do_not_go_on():
+    rng = np.random.default_rng(3)
+    syllables = [a + b for a in "bdfglmnprst" for b in "aeiou"]
+    made = sorted({"".join(rng.choice(syllables, rng.integers(2, 6))) + "n" for _ in range(600)})
+    common = {w: int(rng.integers(80, 1000)) for w in made} | dict.fromkeys(NOUNS + VERBS + ADJECTIVES, 2000)
+    once = {a + b: 1 for a in ("for", "as", "of", "that", "in") for b in ("the", "in", "for") if a != b}  # read without the space between them
+    short = {"the": 80000, "of": 28000, "a": 15000, "that": 13000, "in": 11000, "for": 8500, "as": 4500, "nor": 4500, "l'": 900}
+    words = {**common, **once, **short}
+    ends = [(a, b) for a in [*short, *NOUNS[:3], *made[:3]] for b in [*list(short)[:-1], *NOUNS[3:6], *made[3:6]] if a + b not in words and a[-1].isalpha()]
+    breaks = [(w[:k], w[k:]) for w in NOUNS + made[:20] for k in (2, 3, 4) if words[w] > 1]
+    for seed in range(8):
+        goes = lambda pairs, mark: model.predict(np.array([S.pair_features(a, b, mark, words, 0) for a, b in pairs])) > 0.5
+        model = S.join_model(words, seed=seed)
+        wrong = [p for p, g in zip(ends, goes(ends, ""), strict=True) if g]
+        assert not wrong, (seed, len(wrong), wrong[:5])
+        assert goes(breaks, "").mean() > 0.98 and goes(breaks, "-").mean() > 0.98
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
